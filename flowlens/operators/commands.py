@@ -55,12 +55,12 @@ def dependency_rows(ledger: DataFrame, barriers: DataFrame, at: DataFrame, catal
     """
     needed = declared_dependencies(catalogue)
     wanted = barriers.select(FLOW, "batch_index", "dag_key").join(needed, ["dag_key", "batch_index"])
-    usable = F.when((c("status") == "COMPLETED"), c("result_json"))
-    names = F.broadcast(needed.select(c("dependency").alias("action_name")).distinct())
+    names = F.broadcast(needed.select(c("dependency").alias("action_name"), F.lit(True).alias("_needed")).distinct())
     moments = range(catalogue.depth)
-    states = B.states_at(
-        ledger.withColumn("result_json", usable), at, ["status", "action_name", "result_json"], moments
-    ).join(names, "action_name", "left_semi")
+    tagged = ledger.join(names, "action_name", "left").withColumn(
+        "result_json", F.when(c("_needed") & (c("status") == "COMPLETED"), c("result_json"))
+    )
+    states = B.states_at(tagged, at, ["status", "action_name", "result_json"], moments)
     latest = latest_results(states, (FLOW, "moment", "action_name")).select(
         FLOW,
         c("moment").alias("batch_index"),

@@ -140,9 +140,9 @@ def valid_dcx_codes(rows: DataFrame) -> DataFrame:
 
 
 def select_snapshot(old: DataFrame, new_valid: DataFrame) -> DataFrame:
-    """The new snapshot if it has any valid row, else the old one. Decided inside the plan, by a one-row flag."""
-    has_new = new_valid.limit(1).agg((F.count(F.lit(1)) > 0).alias("_has_new"))
-    kept_old = old.crossJoin(F.broadcast(has_new)).filter(~F.col("_has_new")).drop("_has_new")
+    """The new snapshot if it has any valid row, else the old one, decided inside the plan by a one-row flag."""
+    any_new = new_valid.limit(1).select(F.lit(1).alias("_flag"))
+    kept_old = old.withColumn("_flag", F.lit(1)).join(F.broadcast(any_new), "_flag", "left_anti").drop("_flag")
     return new_valid.unionByName(kept_old)
 
 
