@@ -579,10 +579,10 @@ ORACLE["flow_rows"] = _with(_LINES) + """
 SELECT flow AS correlation_id, task AS task_flow_id, status, b AS batch_index FROM line_task
 WHERE flow IN (SELECT CAST(o_orderkey AS VARCHAR) FROM orders WHERE o_orderstatus = 'P')"""
 
-ORACLE["retained_rows"] = _with(_LINES) + """
-SELECT flow AS correlation_id, task AS task_flow_id, action AS action_name, b AS batch_index, status,
-  CAST(created_at AS DATE) AS created_date
-FROM line_task WHERE created_at >= DATE '2001-08-01' - INTERVAL 60 DAYS"""
+ORACLE["retained_rows"] = _with(_EV, _TASKS) + """
+SELECT t.flow AS correlation_id, t.task AS task_flow_id, t.action AS action_name, t.b AS batch_index, t.status,
+  CAST(e.ts AS DATE) AS created_date
+FROM task_row t JOIN ev e ON e.seq = t.first_seq WHERE CAST(e.ts AS DATE) >= DATE '2024-01-30' - INTERVAL 20 DAYS"""
 
 ORACLE["result_characteristics"] = _with(_EV) + """,
 attr AS (
@@ -597,3 +597,13 @@ FROM attr"""
 
 ORACLE["dedup_events"] = _with(_EV) + """
 SELECT CAST(seq AS VARCHAR) AS event_id, seq AS arrival_seq, flow AS correlation_id, status, k FROM ev"""
+
+# ---- streaming twins ------------------------------------------------------------------------------------------
+
+ORACLE["stream_quarantine"] = ORACLE["quarantine_split"]
+ORACLE["stream_task_table"] = ORACLE["task_upsert_events"]
+ORACLE["stream_dedup"] = _with(_EV) + """
+SELECT CAST(seq AS VARCHAR) AS event_id, flow AS correlation_id, status FROM ev"""
+ORACLE["stream_signals"] = ORACLE["signals_correlated"]
+ORACLE["stream_barriers"] = ORACLE["barrier_lifecycle"]
+ORACLE["stream_lifecycle"] = ORACLE["lifecycle_rows"]

@@ -651,10 +651,10 @@ def flow_rows(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def retained_rows(spark: SparkSession, sf: str) -> DataFrame:
-    """Task rows through the day-partitioned table, then its last 60 days."""
+    """Task rows through the day-partitioned table, then its last 20 days."""
     path = fresh_dir(spark, "tasks")
-    tables.write_days(dated_line_tasks(spark, sf).drop("first_seq", "last_seq"), path)
-    kept = tables.retained(tables.read_days(spark, path), dt.date(2001, 8, 1))
+    tables.write_days(event_tasks(spark, sf).withColumn(tables.DAY, F.to_date("created_at")), path)
+    kept = tables.retained(tables.read_days(spark, path), dt.date(2024, 1, 30), days=20)
     return kept.select("correlation_id", "task_flow_id", "action_name", "batch_index", "status", tables.DAY)
 
 
