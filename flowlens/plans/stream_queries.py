@@ -61,13 +61,13 @@ def stream_dedup(spark: SparkSession, sf: str) -> DataFrame:
 def stream_signals(spark: SparkSession, sf: str) -> DataFrame:
     _stateful(spark)
     waiting = Q.waiting_registrations(event_stream(spark, sf))
-    return runs.drain_to_table(stateful.stream_replies(waiting, Q.replies(event_stream(spark, sf))))
+    return runs.drain_to_table(stateful.stream_replies(waiting, Q.replies(event_stream(spark, sf)), expire=False))
 
 
 def flow_changes(spark: SparkSession, sf: str) -> DataFrame:
     _stateful(spark)
     ledger = E.ledger(A.shape_events(event_stream(spark, sf)))
-    return runs.drain_to_table(stateful.stream_flows(ledger, A.event_catalogue(spark)))
+    return runs.drain_to_table(stateful.stream_flows(ledger, A.event_catalogue(spark), expire=False))
 
 
 def stream_barriers(spark: SparkSession, sf: str) -> DataFrame:

@@ -21,8 +21,13 @@ from flowlens.sources.catalogue import Catalogue
 c = F.col
 
 # Terminal flows stay as tombstones, so that late duplicates are ignored, for as long as the tables keep rows.
+# Expiry needs a running clock, and a stream with a clock never counts as drained: ``expire=False`` for replays.
 STATE_DAYS = 60
 
+
+def _clock(expire: bool) -> tuple[str, int | None]:
+    return ("ProcessingTime", STATE_DAYS * 86_400_000) if expire else ("None", None)
+
 CHANGES = (
     "correlation_id string, kind string, seq long, emit_pos int, batch_index int, dag_key string, task_total int,"
     "task_completed int, task_failed int, opened_seq long, closed_seq long, status string, kickout string,"
@@ -94,13 +99,13 @@ def _judge(tasks: list[dict]) -> tuple[str | None, str, str]:
 class FlowBarriers(StatefulProcessor):
     """Emits ``barrier`` rows (current counts and status, the newest ``seq`` counts) and ``lifecycle`` rows."""
 
-    def __init__(self, totals: dict[tuple[str, int], int | None]):
+    def __init__(self, totals: dict[tuple[str, int], int | None], ttl_ms: int | None):
         self.totals = totals
+        self.ttl_ms = ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        ttl = STATE_DAYS * 86_400_000
-        self.flow = handle.getValueState("flow", _FLOW_STATE, ttl)
-        self.tasks = handle.getMapState("tasks", "task_flow_id string", _TASK_STATE, ttl)
+        self.flow = handle.getValueState("flow", _FLOW_STATE, self.ttl_ms)
+        self.tasks = handle.getMapState("tasks", "task_flow_id string", _TASK_STATE, self.ttl_ms)
 
     def _open(self, dag: str, index: int, seq: int) -> dict:
         return {
@@ -189,18 +194,18 @@ class FlowBarriers(StatefulProcessor):
         pass
 
 
-def stream_flows(ledger: DataFrame, catalogue: Catalogue, totals: dict[tuple[str, int], int | None] | None = None) -> DataFrame:
-    """Barrier and lifecycle changes of a streaming ledger."""
-    if totals is None:
-        totals = {(r.dag_key, r.batch_index): r.task_total for r in catalogue.batches.collect()}
+def stream_flows(ledger: DataFrame, catalogue: Catalogue, expire: bool = True) -> DataFrame:
+    """Barrier and lifecycle changes of a streaming ledger. The catalogue's size was checked when it was built."""
+    totals = {(r.dag_key, r.batch_index): r.task_total for r in catalogue.batches.collect()}
+    mode, ttl = _clock(expire)
     return (
         flow_inputs(ledger)
         .groupBy("correlation_id")
         .transformWithStateInPandas(
-            statefulProcessor=FlowBarriers(totals),
+            statefulProcessor=FlowBarriers(totals, ttl),
             outputStructType=CHANGES,
             outputMode="Append",
-            timeMode="ProcessingTime",
+            timeMode=mode,
         )
     )
 
@@ -226,11 +231,12 @@ _WAITING = "seq long, at timestamp, correlation_id string, task_flow_id string"
 class ReplyMatcher(StatefulProcessor):
     """Remembers the newest registration of a transaction id and answers replies within the horizon."""
 
-    def __init__(self, horizon_days: int):
+    def __init__(self, horizon_days: int, ttl_ms: int | None):
         self.horizon = pd.Timedelta(days=horizon_days)
+        self.ttl_ms = ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.waiting = handle.getValueState("waiting", _WAITING, STATE_DAYS * 86_400_000)
+        self.waiting = handle.getValueState("waiting", _WAITING, self.ttl_ms)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         held = self.waiting.get()
@@ -252,7 +258,7 @@ class ReplyMatcher(StatefulProcessor):
         pass
 
 
-def stream_replies(waiting: DataFrame, replies: DataFrame, horizon_days: int = 7) -> DataFrame:
+def stream_replies(waiting: DataFrame, replies: DataFrame, horizon_days: int = 7, expire: bool = True) -> DataFrame:
     """Replies matched to waiting tasks over two streams of the same log."""
     none = F.lit(None).cast("string")
     at = c("at").cast("timestamp").alias("at")
@@ -264,7 +270,7 @@ def stream_replies(waiting: DataFrame, replies: DataFrame, horizon_days: int = 7
             F.lit(False).alias("is_waiting"),
         )
     )
+    mode, ttl = _clock(expire)
     return rows.groupBy("transaction_id").transformWithStateInPandas(
-        statefulProcessor=ReplyMatcher(horizon_days), outputStructType=MATCHES, outputMode="Append",
-        timeMode="ProcessingTime",
+        statefulProcessor=ReplyMatcher(horizon_days, ttl), outputStructType=MATCHES, outputMode="Append", timeMode=mode
     )
