@@ -34,6 +34,16 @@ def initiations(ledger: DataFrame) -> DataFrame:
     )
 
 
+def working_log(ledger: DataFrame) -> DataFrame:
+    """The rows and columns barriers need, decoded once and stored narrow; every later step reads this."""
+    used = (
+        "message_name", "dag_key", "has_flow", "flow_id", FLOW, CHUNK, "arrival_seq", "event_time", "status",
+        "batch_index", "retryable", "has_action", "task_flow_id", "action_name", "action_code", "verdict",
+    )
+    kept = routing.is_initiation() | routing.is_auditable() | routing.is_countable_candidate()
+    return cut(ledger.filter(kept).select(*used))
+
+
 def seeds(ledger: DataFrame, catalogue: Catalogue) -> DataFrame:
     """First initiation per flow whose DAG has actions in batch 0; later ones are ignored."""
     first = catalogue.batches.filter((c("batch_index") == 0) & c("task_total").isNotNull()).select(
@@ -237,6 +247,7 @@ def final_values(decided: DataFrame) -> DataFrame:
 def lifecycle(ledger: DataFrame, catalogue: Catalogue) -> DataFrame:
     """Barrier table: counts, positions, OPEN / CLOSED / FAILED, kickout reason and the values of a final patch."""
     depth = catalogue.depth
+    ledger = working_log(ledger)
     flows = closing_positions(ledger, catalogue)
     states = states_at(
         ledger,
@@ -295,7 +306,7 @@ def empty_starts(barriers: DataFrame, ledger: DataFrame, catalogue: Catalogue) -
     return (
         initiations(ledger)
         .join(empty, "dag_key")
-        .join(seeded, FLOW, "left")
+        .transform(lambda rows: spread_join(rows, seeded, FLOW, "left"))
         .filter(c("_seeded").isNull() | (c("arrival_seq") < c("_seeded")))
         .select(
             FLOW,

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from flowlens import schemas as S
@@ -49,10 +48,9 @@ def merged_refs(existing: DataFrame, new: DataFrame, fields: list[str]) -> DataF
     )
     known = existing.select("correlation_id", "id").distinct()
     added = first.join(known, ["correlation_id", "id"], "left_anti")
-    numbered = number_rows(added, ["correlation_id"], ["arrival_seq"], "_n")
-    sizes = existing.groupBy("correlation_id").agg(F.max("pos").alias("_size"))
-    appended = numbered.join(sizes, "correlation_id", "left").select(
-        "correlation_id", (c("_n") + F.coalesce("_size", F.lit(0))).alias("pos"), "id", *fields
+    sizes = existing.groupBy("correlation_id").agg(F.max("pos").alias("_start"))
+    appended = number_rows(added, ["correlation_id"], ["arrival_seq"], "pos", sizes).select(
+        "correlation_id", "pos", "id", *fields
     )
     return existing.select("correlation_id", c("pos").cast("long"), "id", *fields).unionByName(appended)
 

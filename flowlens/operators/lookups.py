@@ -1,6 +1,6 @@
 """Registry lookups as joins. Dimensions come from ``valid_action_codes`` / ``valid_dcx_codes``.
 
-Callers pass the dimensions through ``small_or_plain`` once: broadcast when measured small, shuffled otherwise.
+Callers pass the dimensions through ``measured`` once: broadcast when measured small, shuffled otherwise.
 """
 
 from __future__ import annotations

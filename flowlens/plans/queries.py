@@ -16,7 +16,7 @@ from flowlens.operators import documents as D
 from flowlens.operators import lookups as L
 from flowlens.operators import notifications as N
 from flowlens.operators import reports, routing, tasks
-from flowlens.operators.skew import CHUNK, chunk_of, small_or_plain
+from flowlens.operators.skew import CHUNK, chunk_of, measured
 from flowlens.operators.storage import fresh_dir
 from flowlens.sources import adapters as A
 from flowlens.sources import catalogue as K
@@ -378,11 +378,11 @@ def appended_related(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def action_codes(spark: SparkSession, sf: str) -> DataFrame:
-    return small_or_plain(K.valid_action_codes(A.part_action_codes(spark, sf)))
+    return measured(K.valid_action_codes(A.part_action_codes(spark, sf)))
 
 
 def dcx_codes(spark: SparkSession, sf: str) -> DataFrame:
-    return small_or_plain(K.valid_dcx_codes(A.part_dcx_codes(spark, sf)))
+    return measured(K.valid_dcx_codes(A.part_dcx_codes(spark, sf)))
 
 
 def looked_up(spark: SparkSession, sf: str) -> DataFrame:
@@ -416,7 +416,7 @@ def action_lookup(spark: SparkSession, sf: str) -> DataFrame:
 def reverse_lookup(spark: SparkSession, sf: str) -> DataFrame:
     names = L.names_by_code(action_codes(spark, sf))
     asked = A.part_action_codes(spark, sf).groupBy("action_code").agg(F.count(F.lit(1)).alias("parts"))
-    return asked.join(small_or_plain(names), "action_code", "left").select("action_code", "parts", "action_name")
+    return asked.join(measured(names), "action_code", "left").select("action_code", "parts", "action_name")
 
 
 def dcx_lookup(spark: SparkSession, sf: str) -> DataFrame:
@@ -479,7 +479,7 @@ def registry_snapshot(spark: SparkSession, sf: str) -> DataFrame:
 
 def command_codes(spark: SparkSession, sf: str) -> DataFrame:
     name = F.concat(F.lit("a"), (c("p_partkey") % 2).cast("string"))
-    return small_or_plain(K.valid_action_codes(A.part_action_codes(spark, sf, name)))
+    return measured(K.valid_action_codes(A.part_action_codes(spark, sf, name)))
 
 
 def event_parts(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, K.Catalogue]:

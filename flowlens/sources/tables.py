@@ -48,8 +48,9 @@ def existing_keys(keys: DataFrame, rows: DataFrame, on: list[str]) -> DataFrame:
 
 
 def of_flows(rows: DataFrame, flows: DataFrame) -> DataFrame:
-    """All rows of the given flows, across all days."""
-    return rows.join(flows.select("correlation_id"), "correlation_id", "left_semi")
+    """All rows of the given flows, across all days, met on (flow, day) so that no flow sits in one task."""
+    days = rows.select("correlation_id", DAY).distinct().join(flows.select("correlation_id"), "correlation_id", "left_semi")
+    return rows.join(days, ["correlation_id", DAY], "left_semi")
 
 
 class TaskTable:
