@@ -34,14 +34,14 @@ def initiations(ledger: DataFrame) -> DataFrame:
     )
 
 
-def working_log(ledger: DataFrame) -> DataFrame:
+def working_log(ledger: DataFrame, *extra: str) -> DataFrame:
     """The rows and columns barriers need, decoded once and stored narrow; every later step reads this."""
     used = (
         "message_name", "dag_key", "has_flow", "flow_id", FLOW, CHUNK, "arrival_seq", "event_time", "status",
         "batch_index", "retryable", "has_action", "task_flow_id", "action_name", "action_code", "verdict",
     )
     kept = routing.is_initiation() | routing.is_auditable() | routing.is_countable_candidate()
-    return cut(ledger.filter(kept).select(*used))
+    return cut(ledger.filter(kept).select(*used, *extra))
 
 
 def seeds(ledger: DataFrame, catalogue: Catalogue) -> DataFrame:
@@ -245,9 +245,16 @@ def final_values(decided: DataFrame) -> DataFrame:
 
 
 def lifecycle(ledger: DataFrame, catalogue: Catalogue) -> DataFrame:
-    """Barrier table: counts, positions, OPEN / CLOSED / FAILED, kickout reason and the values of a final patch."""
+    """Barrier table out of any ledger; see ``lifecycle_of``."""
+    return lifecycle_of(working_log(ledger), catalogue)
+
+
+def lifecycle_of(ledger: DataFrame, catalogue: Catalogue) -> DataFrame:
+    """Barrier table: counts, positions, OPEN / CLOSED / FAILED, kickout reason and the values of a final patch.
+
+    ``ledger`` is read several times, so it should be stored: a ``working_log``.
+    """
     depth = catalogue.depth
-    ledger = working_log(ledger)
     flows = closing_positions(ledger, catalogue)
     states = states_at(
         ledger,

@@ -48,19 +48,23 @@ def batch_dependencies(catalogue: Catalogue) -> DataFrame:
     )
 
 
-def dependency_rows(ledger: DataFrame, barriers: DataFrame, at: DataFrame, catalogue: Catalogue) -> DataFrame:
-    """Per opened batch and declared dependency: the newest completed result at opening, null when there is none.
-
-    Only results of actions that some batch depends on travel through the shuffle.
-    """
-    needed = declared_dependencies(catalogue)
-    wanted = barriers.select(FLOW, "batch_index", "dag_key").join(needed, ["dag_key", "batch_index"])
-    names = F.broadcast(needed.select(c("dependency").alias("action_name"), F.lit(True).alias("_needed")).distinct())
-    moments = range(catalogue.depth)
-    tagged = ledger.join(names, "action_name", "left").withColumn(
+def dependency_candidates(ledger: DataFrame, catalogue: Catalogue) -> DataFrame:
+    """The ledger with result bodies kept only where some batch depends on the action and the event completed it."""
+    needed = declared_dependencies(catalogue).select(c("dependency").alias("action_name")).distinct()
+    marked = ledger.join(F.broadcast(needed.withColumn("_needed", F.lit(True))), "action_name", "left")
+    return marked.withColumn(
         "result_json", F.when(c("_needed") & (c("status") == "COMPLETED"), c("result_json"))
+    ).drop("_needed")
+
+
+def dependency_rows(candidates: DataFrame, barriers: DataFrame, catalogue: Catalogue) -> DataFrame:
+    """Per opened batch and declared dependency: the newest completed result at opening, null when there is none."""
+    opened = [F.max(F.when(c("batch_index") == i, c("opened_seq"))).alias(f"p{i}") for i in range(catalogue.depth)]
+    at = barriers.groupBy(FLOW).agg(*opened, F.max("opened_seq").alias("p_last"))
+    wanted = barriers.select(FLOW, "batch_index", "dag_key").join(
+        declared_dependencies(catalogue), ["dag_key", "batch_index"]
     )
-    states = B.states_at(tagged, at, ["status", "action_name", "result_json"], moments)
+    states = B.states_at(candidates, at, ["status", "action_name", "result_json"], range(catalogue.depth))
     latest = latest_results(states, (FLOW, "moment", "action_name")).select(
         FLOW,
         c("moment").alias("batch_index"),

@@ -17,7 +17,7 @@ from flowlens.operators import lookups as L
 from flowlens.operators import notifications as N
 from flowlens.operators import reports, routing, tasks
 from flowlens.operators.skew import CHUNK, chunk_of, measured
-from flowlens.operators.storage import fresh_dir
+from flowlens.operators.storage import cut, fresh_dir
 from flowlens.sources import adapters as A
 from flowlens.sources import catalogue as K
 from flowlens.sources import envelopes as E
@@ -104,19 +104,19 @@ def raw_event_log(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def quarantine_split(spark: SparkSession, sf: str) -> DataFrame:
-    split = E.decode_envelopes(raw_event_log(spark, sf))
-    good = split.good.select(
-        "arrival_seq", F.lit("good").alias("outcome"), "correlation_id", "status", c("batch.index").alias("batch_index")
-    )
-    none = F.lit(None).cast("string")
-    bad = split.quarantine.select(
+    return split_outcome(E.mark_envelopes(raw_event_log(spark, sf)))
+
+
+def split_outcome(marked: DataFrame) -> DataFrame:
+    """Both sides of the split in one pass; fields of unreadable records are blanked."""
+    ok = c("readable")
+    return marked.select(
         "arrival_seq",
-        F.lit("quarantine").alias("outcome"),
-        none.alias("correlation_id"),
-        none.alias("status"),
-        F.lit(None).cast("int").alias("batch_index"),
+        F.when(ok, "good").otherwise("quarantine").alias("outcome"),
+        F.when(ok, c("correlation_id")).alias("correlation_id"),
+        F.when(ok, c("status")).alias("status"),
+        F.when(ok, c("batch.index")).alias("batch_index"),
     )
-    return good.unionByName(bad)
 
 
 def event_ledger(spark: SparkSession, sf: str) -> DataFrame:
@@ -235,8 +235,8 @@ def flow_outcome(spark: SparkSession, sf: str) -> DataFrame:
 
 def final_state(spark: SparkSession, sf: str) -> DataFrame:
     """Flow ends over stored bodies, some of them unreadable."""
-    ledger, catalogue = bad_body_ledger(spark, sf), A.event_catalogue(spark)
-    return B.flow_ends(B.lifecycle(ledger, catalogue), ledger, catalogue)
+    log, catalogue = B.working_log(bad_body_ledger(spark, sf)), A.event_catalogue(spark)
+    return B.flow_ends(B.lifecycle_of(log, catalogue), log, catalogue)
 
 
 def flow_documents(spark: SparkSession, sf: str) -> DataFrame:
@@ -273,8 +273,8 @@ def attributes_text(attributes: Column) -> Column:
 
 
 def final_patch(spark: SparkSession, sf: str) -> DataFrame:
-    ledger, catalogue = event_ledger(spark, sf), A.event_catalogue(spark)
-    ends = B.flow_ends(B.lifecycle(ledger, catalogue), ledger, catalogue)
+    log, barriers, catalogue = event_parts(spark, sf)
+    ends = B.flow_ends(barriers, log, catalogue)
     return D.final_patches(ends, flow_documents(spark, sf)).select(
         "id", "state", attributes_text(c("characteristic")).alias("attributes")
     )
@@ -483,15 +483,16 @@ def command_codes(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def event_parts(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, K.Catalogue]:
-    ledger, catalogue = event_ledger(spark, sf), A.event_catalogue(spark)
-    return ledger, B.lifecycle(ledger, catalogue), catalogue
+    """Stored log and barrier table, for queries that read them more than once."""
+    log, catalogue = B.working_log(event_ledger(spark, sf)), A.event_catalogue(spark)
+    return log, cut(B.lifecycle_of(log, catalogue)), catalogue
 
 
 def opened_dependencies(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, K.Catalogue]:
-    ledger, barriers, catalogue = event_parts(spark, sf)
-    opened = [F.max(F.when(c("batch_index") == i, c("opened_seq"))).alias(f"p{i}") for i in range(catalogue.depth)]
-    at = barriers.groupBy("correlation_id").agg(*opened, F.max("opened_seq").alias("p_last"))
-    return C.dependency_rows(ledger, barriers, at, catalogue), barriers, catalogue
+    catalogue = A.event_catalogue(spark)
+    log = B.working_log(C.dependency_candidates(event_ledger(spark, sf), catalogue), "result_json")
+    barriers = cut(B.lifecycle_of(log, catalogue))
+    return C.dependency_rows(log, barriers, catalogue), barriers, catalogue
 
 
 def batch_commands(spark: SparkSession, sf: str) -> DataFrame:
@@ -615,7 +616,9 @@ TODAY = dt.date(2000, 1, 1)
 
 
 def dated_line_tasks(spark: SparkSession, sf: str) -> DataFrame:
-    return line_tasks(spark, sf).withColumn(tables.DAY, F.to_date("created_at"))
+    """The stored task table: written once, since each lookup reads it more than once."""
+    rows = line_tasks(spark, sf).select("correlation_id", "task_flow_id", "status", "batch_index", "created_at")
+    return cut(rows.withColumn(tables.DAY, F.to_date("created_at")))
 
 
 def order_keys(spark: SparkSession, sf: str) -> DataFrame:

@@ -29,16 +29,7 @@ def stream_quarantine(spark: SparkSession, sf: str) -> DataFrame:
     path = fresh_dir(spark, "raw-log")
     Q.raw_event_log(spark, sf).write.parquet(path)
     raw = E.stream_log(spark, path, "parquet", schema="arrival_seq bigint, value string")
-    split = E.decode_envelopes(raw)
-    good = split.good.select(
-        "arrival_seq", F.lit("good").alias("outcome"), "correlation_id", "status", c("batch.index").alias("batch_index")
-    )
-    none = F.lit(None).cast("string")
-    bad = split.quarantine.select(
-        "arrival_seq", F.lit("quarantine").alias("outcome"), none.alias("correlation_id"), none.alias("status"),
-        F.lit(None).cast("int").alias("batch_index"),
-    )
-    return runs.drain_to_table(good).unionByName(runs.drain_to_table(bad))
+    return runs.drain_to_table(Q.split_outcome(E.mark_envelopes(raw)))
 
 
 def stream_task_table(spark: SparkSession, sf: str) -> DataFrame:

@@ -41,14 +41,17 @@ def event_catalogue(spark: SparkSession) -> Catalogue:
 
 
 def shape_events(events: DataFrame) -> DataFrame:
-    """Typed envelopes out of raw event rows; works on static and streaming frames."""
+    """Typed envelopes out of raw event rows; works on static and streaming frames.
+
+    ``k`` goes through a generator so that its extraction is not copied into every expression that uses it.
+    """
     c = F.col
     base = events.select(
         c("event_id").alias("arrival_seq"),
         c("ts"),
         c("user_id"),
         c("event_type"),
-        F.get_json_object("props", "$.k").try_cast("int").alias("k"),
+        F.explode(F.array(F.get_json_object("props", "$.k").try_cast("int"))).alias("k"),
         F.concat(c("user_id").cast("string"), F.lit("-"), F.expr("(day(ts) - 1) div 7").cast("string")).alias(
             "correlation_id"
         ),

@@ -60,38 +60,58 @@ def _outside(c: Column, allowed: tuple[str, ...]) -> Column:
     return F.coalesce(~c.isin(*allowed), F.lit(False))
 
 
-def bad_envelope(decoded: Column, value: Column) -> Column:
-    """True where the text is no readable envelope object or holds an unknown enum text."""
+def parse_once(rows: DataFrame, text: Column, schema: str) -> DataFrame:
+    """Adds the parsed fields as columns. The generator keeps the optimizer from copying the parse into every use."""
+    return rows.select("*", F.inline(F.array(F.from_json(text, schema, _PARSE))))
+
+
+def bad_envelope(value: Column) -> Column:
+    """True where the parsed text is no readable envelope object or holds an unknown enum text."""
+    c = F.col
     return (
         ~F.coalesce(value.rlike(r"^\s*\{"), F.lit(False))
-        | decoded[S.CORRUPT].isNotNull()
-        | _outside(decoded["messageType"], S.MESSAGE_TYPES)
-        | _outside(decoded["intent"], S.INTENTS)
-        | _outside(decoded["status"], S.STATUSES)
-        | _outside(decoded["execution"]["mode"], S.MODES)
+        | c(S.CORRUPT).isNotNull()
+        | _outside(c("messageType"), S.MESSAGE_TYPES)
+        | _outside(c("intent"), S.INTENTS)
+        | _outside(c("status"), S.STATUSES)
+        | _outside(c("execution.mode"), S.MODES)
     )
 
 
-def decode_envelopes(raw: DataFrame, value: str = "value", keep: tuple[str, ...] = ("arrival_seq",)) -> Split:
-    """Typed envelopes and, apart from them, each unreadable record once with its position columns.
+def mark_envelopes(raw: DataFrame, value: str = "value", keep: tuple[str, ...] = ("arrival_seq",)) -> DataFrame:
+    """Every record with its typed fields, its text ``raw_value`` and the flag ``readable``.
 
-    Null values (tombstones) are neither: they are dropped.
+    Null values (tombstones) are dropped. One pass serves both sides of the split.
     """
     text = F.col(value).cast("string")
-    parsed = raw.filter(F.col(value).isNotNull()).withColumn("_e", F.from_json(text, S.ENVELOPE_WIRE, _PARSE))
-    bad = bad_envelope(F.col("_e"), text)
-    good = parsed.filter(~bad).select(*keep, *[F.col(f"_e.{w}").alias(n) for w, n in _TOP_LEVEL.items()])
-    return Split(good, parsed.filter(bad).select(*keep, text.alias("raw_value")))
+    kept = raw.filter(F.col(value).isNotNull()).select(*keep, text.alias("raw_value"))
+    parsed = parse_once(kept, F.col("raw_value"), S.ENVELOPE_WIRE)
+    return parsed.select(
+        *keep,
+        "raw_value",
+        (~bad_envelope(F.col("raw_value"))).alias("readable"),
+        *[F.col(w).alias(n) for w, n in _TOP_LEVEL.items()],
+    )
+
+
+def split_envelopes(marked: DataFrame, keep: tuple[str, ...] = ("arrival_seq",)) -> Split:
+    good = marked.filter("readable").drop("readable", "raw_value")
+    return Split(good, marked.filter("not readable").select(*keep, "raw_value"))
+
+
+def decode_envelopes(raw: DataFrame, value: str = "value", keep: tuple[str, ...] = ("arrival_seq",)) -> Split:
+    """Typed envelopes and, apart from them, each unreadable record once with its position columns."""
+    return split_envelopes(mark_envelopes(raw, value, keep), keep)
 
 
 def decode_notifications(
     raw: DataFrame, value: str = "value", keep: tuple[str, ...] = ("arrival_seq",)
 ) -> Split:
-    text = F.col(value).cast("string")
-    parsed = raw.filter(F.col(value).isNotNull()).withColumn("_e", F.from_json(text, S.NOTIFICATION_WIRE, _PARSE))
-    bad = ~F.coalesce(text.rlike(r"^\s*\{"), F.lit(False)) | F.col(f"_e.{S.CORRUPT}").isNotNull()
-    good = parsed.filter(~bad).select(*keep, "_e.*").drop(S.CORRUPT)
-    return Split(good, parsed.filter(bad).select(*keep, text.alias("raw_value")))
+    kept = raw.filter(F.col(value).isNotNull()).select(*keep, F.col(value).cast("string").alias("raw_value"))
+    parsed = parse_once(kept, F.col("raw_value"), S.NOTIFICATION_WIRE)
+    bad = ~F.coalesce(F.col("raw_value").rlike(r"^\s*\{"), F.lit(False)) | F.col(S.CORRUPT).isNotNull()
+    good = parsed.filter(~bad).drop(S.CORRUPT, "raw_value")
+    return Split(good, parsed.filter(bad).select(*keep, "raw_value"))
 
 
 def ledger(envelopes: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
@@ -130,7 +150,8 @@ def ledger(envelopes: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
 
 def with_json_verdict(rows: DataFrame) -> DataFrame:
     """Take the verdict from stored ``result_json`` text instead of the typed result."""
-    return rows.withColumn("verdict", verdict_of_json(F.col("result_json")))
+    parsed = F.struct(verdict_of_json(F.col("result_json")).alias("verdict"))
+    return rows.drop("verdict").select("*", F.inline(F.array(parsed)))
 
 
 def encode_envelopes(rows: DataFrame) -> DataFrame:

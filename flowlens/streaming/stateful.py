@@ -68,10 +68,16 @@ def flow_inputs(ledger: DataFrame) -> DataFrame:
     )
 
 
-def _ordered(frames: Iterator[pd.DataFrame]) -> Iterator[dict]:
-    rows = pd.concat(list(frames), ignore_index=True).sort_values("arrival_seq", kind="stable")
-    rows = rows.astype(object).where(rows.notna(), None)
-    return iter(rows.to_dict("records"))
+def _ordered(frames: Iterator[pd.DataFrame]) -> list[dict]:
+    """One key's rows of this micro-batch as dicts in arrival order, missing values as None."""
+    rows: list[tuple] = []
+    names: list[str] = []
+    for frame in frames:
+        names = list(frame.columns)
+        rows += zip(*(frame[n].tolist() for n in names))
+    at = names.index("arrival_seq")
+    rows.sort(key=lambda r: r[at])
+    return [{n: None if v is None or v != v else v for n, v in zip(names, r)} for r in rows]
 
 
 def _judge(tasks: list[dict]) -> tuple[str | None, str, str]:
@@ -116,6 +122,7 @@ class FlowBarriers(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         flow_id = key[0]
         stored = self.flow.get()
+        self.any_tasks = self.tasks.exists()
         flow = dict(zip([f.strip().split(" ")[0] for f in _FLOW_STATE.split(",")], stored)) if stored else None
         touched: dict[str, dict] = {}
         barrier: dict[int, dict] = {}
@@ -174,20 +181,18 @@ class FlowBarriers(StatefulProcessor):
             self.flow.update(tuple(flow.values()))
         out += barrier.values()
         if out:
-            frame = pd.DataFrame(out).reindex(columns=_COLUMNS)
-            frame["correlation_id"] = flow_id
-            ints = ("seq", "emit_pos", "batch_index", "task_total", "task_completed", "task_failed", "opened_seq", "closed_seq")
-            yield frame.astype({n: "Int64" for n in ints}).astype(object).where(frame.notna(), None)
+            yield pd.DataFrame([[flow_id, *map(o.get, _COLUMNS[1:])] for o in out], columns=_COLUMNS, dtype=object)
 
     def _upsert(self, touched: dict[str, dict], r: dict, seq: int) -> None:
         task_id = r["task_flow_id"]
-        if task_id not in touched and self.tasks.containsKey((task_id,)):
+        if task_id not in touched and self.any_tasks and self.tasks.containsKey((task_id,)):
             touched[task_id] = dict(zip(_TASK_FIELDS, self.tasks.getValue((task_id,))))
         first = touched[task_id]["first_seq"] if task_id in touched else seq
         touched[task_id] = {f: r.get(f) for f in _TASK_FIELDS} | {"first_seq": first, "batch_index": int(r["batch_index"])}
 
     def _batch_rows(self, touched: dict[str, dict], index: int) -> list[dict]:
-        known = {k[0]: dict(zip(_TASK_FIELDS, v)) for k, v in self.tasks.iterator()} | touched
+        stored = self.tasks.iterator() if self.any_tasks else ()
+        known = {k[0]: dict(zip(_TASK_FIELDS, v)) for k, v in stored} | touched
         return sorted((t for t in known.values() if t["batch_index"] == index), key=lambda t: t["first_seq"])
 
     def close(self) -> None:
@@ -243,7 +248,7 @@ class ReplyMatcher(StatefulProcessor):
         fresh = False
         out = []
         for r in _ordered(rows):
-            at = pd.Timestamp(r["at"]).tz_localize(None) if pd.Timestamp(r["at"]).tzinfo else pd.Timestamp(r["at"])
+            at = pd.Timestamp(r["at"]).tz_localize(None)
             if r["is_waiting"]:
                 held = (int(r["arrival_seq"]), at.to_pydatetime(), r["correlation_id"], r["task_flow_id"])
                 fresh = True

@@ -41,9 +41,7 @@ def test_walkthrough(spark):
     assert [(r.batch_index, r.task_total, r.task_completed, r.task_failed, r.status) for r in barriers.orderBy("batch_index").collect()] == [
         (0, 2, 2, 0, "CLOSED"), (1, 1, 1, 0, "CLOSED")]
 
-    opened = barriers.selectExpr("correlation_id", "batch_index", "opened_seq").groupBy("correlation_id").pivot("batch_index", [0, 1]).max("opened_seq")
-    at = opened.selectExpr("correlation_id", "`0` as p0", "`1` as p1", "`1` as p_last")
-    deps = C.dependency_rows(led, barriers, at, cat)
+    deps = C.dependency_rows(C.dependency_candidates(led, cat), barriers, cat)
     sent = C.batch_commands(barriers, cat, codes, dcx, deps).orderBy("command_seq", "emit_pos").collect()
     assert [(r.action_name, r.action_code, r.dcx_action_code, r.batch_index, r.batch_total, r.execution_mode, r.command_seq) for r in sent] == [
         ("voice", "VOICE", "D1", 0, 2, "ASYNC", 0), ("net", "NET", None, 0, 2, "SYNC", 0), ("notify", "NOTE", "D3", 1, 1, "SYNC", 4)]
