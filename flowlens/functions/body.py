@@ -6,23 +6,19 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from flowlens.functions.text import is_blank, same_text
-from flowlens.schemas import CORRUPT, RESULT_BODY
 
 # Attribute name and passing value of a task body.
 BODY_STATUS = "taskStatus"
 BODY_PASSED = "Passed"
 
-_PARSE = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
 
+def is_object(json: Column, corrupt: Column) -> Column:
+    """True if the text is one readable JSON object.
 
-def parse_object(json: Column, schema: str) -> Column:
-    """``from_json`` that yields null for blank, malformed or non-object text.
-
-    Plain ``from_json`` answers a struct of nulls for all three, which cannot be told from ``{}``.
-    ``schema`` must hold the corrupt-record column, so that one parse does both jobs.
+    ``from_json`` answers a struct of nulls for blank, malformed and non-object text alike, which cannot be told from
+    ``{}``; the corrupt-record column and the first character tell them apart without a second parse.
     """
-    parsed = F.from_json(json, schema, _PARSE)
-    return F.when(json.rlike(r"^\s*\{") & parsed[CORRUPT].isNull(), parsed)
+    return F.coalesce(json.rlike(r"^\s*\{"), F.lit(False)) & corrupt.isNull()
 
 
 def first_attribute(attributes: Column, name: str) -> Column:
@@ -49,14 +45,8 @@ def verdict_of_struct(result: Column) -> Column:
     )
 
 
-def verdict_of_json(json: Column) -> Column:
-    body = parse_object(json, RESULT_BODY)
-    return verdict_struct(
-        body.isNotNull(),
-        body["taskFlowResponse"]["characteristic"],
-        body["taskStatusCode"],
-        body["statusChangeReason"],
-    )
+def verdict_of_body(json: Column, task_flow: Column, status_code: Column, reason: Column, corrupt: Column) -> Column:
+    return verdict_struct(is_object(json, corrupt), task_flow["characteristic"], status_code, reason)
 
 
 def href_or_null(result: Column) -> Column:

@@ -203,7 +203,8 @@ def latest_results(spark: SparkSession, sf: str) -> DataFrame:
 
 def barrier_counts(spark: SparkSession, sf: str) -> DataFrame:
     """Counts of every batch a flow could reach if no drained batch were kicked out."""
-    rows = B.barrier_rows(B.closing_positions(event_ledger(spark, sf), A.event_catalogue(spark)))
+    log = B.working_log(event_ledger(spark, sf))
+    rows = B.barrier_rows(B.closing_positions(log, A.event_catalogue(spark)))
     return rows.select(
         "correlation_id", "batch_index", "task_total", "task_completed", "task_failed", "pending",
         F.when(c("pending") == 0, "DRAINED").otherwise("OPEN").alias("status"),

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowlens import schemas as S
-from flowlens.functions.body import verdict_of_json, verdict_of_struct
+from flowlens.functions.body import verdict_of_body, verdict_of_struct
 from flowlens.operators.skew import CHUNK, CHUNK_ROWS, chunk_of
 
 _PARSE = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": S.CORRUPT}
@@ -36,6 +36,9 @@ _TOP_LEVEL = {
 }
 
 
+_BODY = ("taskFlowResponse", "taskStatusCode", "statusChangeReason", S.CORRUPT)
+
+
 @dataclass(frozen=True)
 class Split:
     good: DataFrame
@@ -150,8 +153,9 @@ def ledger(envelopes: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
 
 def with_json_verdict(rows: DataFrame) -> DataFrame:
     """Take the verdict from stored ``result_json`` text instead of the typed result."""
-    parsed = F.struct(verdict_of_json(F.col("result_json")).alias("verdict"))
-    return rows.drop("verdict").select("*", F.inline(F.array(parsed)))
+    bodies = parse_once(rows.drop("verdict"), F.col("result_json"), S.RESULT_BODY)
+    verdict = verdict_of_body(F.col("result_json"), *[F.col(n) for n in _BODY])
+    return bodies.withColumn("verdict", verdict).drop(*_BODY)
 
 
 def encode_envelopes(rows: DataFrame) -> DataFrame:

@@ -111,7 +111,8 @@ class FlowBarriers(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.flow = handle.getValueState("flow", _FLOW_STATE, self.ttl_ms)
-        self.tasks = handle.getMapState("tasks", "task_flow_id string", _TASK_STATE, self.ttl_ms)
+        # Task updates in arrival order, appended without reading; folded when a batch closes, dropped at the end.
+        self.tasks = handle.getListState("tasks", f"task_flow_id string, {_TASK_STATE}", self.ttl_ms)
 
     def _open(self, dag: str, index: int, seq: int) -> dict:
         return {
@@ -122,9 +123,11 @@ class FlowBarriers(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         flow_id = key[0]
         stored = self.flow.get()
-        self.any_tasks = self.tasks.exists()
         flow = dict(zip([f.strip().split(" ")[0] for f in _FLOW_STATE.split(",")], stored)) if stored else None
+        if flow is not None and flow["status"] != "OPEN":
+            return
         touched: dict[str, dict] = {}
+        folded: dict[str, dict] | None = None
         barrier: dict[int, dict] = {}
         out: list[dict] = []
 
@@ -161,7 +164,8 @@ class FlowBarriers(StatefulProcessor):
             if flow["task_completed"] + flow["task_failed"] < flow["task_total"]:
                 note(flow, seq)
                 continue
-            kickout, status, reason = _judge(self._batch_rows(touched, flow["batch_index"]))
+            folded = self._fold(touched)
+            kickout, status, reason = _judge(self._batch_rows(folded, flow["batch_index"]))
             flow["status"] = "FAILED" if kickout else "CLOSED"
             note(flow, seq, closed_seq=seq, kickout=kickout, process_status=status, status_change_reason=reason)
             index, dag = flow["batch_index"], flow["dag_key"]
@@ -175,25 +179,39 @@ class FlowBarriers(StatefulProcessor):
                 flow = self._open(dag, index + 1, seq)
                 note(flow, seq)
 
-        for task_id, state in touched.items():
-            self.tasks.updateValue((task_id,), tuple(state[f] for f in _TASK_FIELDS))
+        if flow is not None and flow["status"] != "OPEN":
+            self.tasks.clear()
+        elif folded is not None:
+            self.tasks.put(self._entries(self._fold(touched)))
+        elif touched:
+            self.tasks.appendList(self._entries(touched))
         if flow is not None:
             self.flow.update(tuple(flow.values()))
         out += barrier.values()
         if out:
             yield pd.DataFrame([[flow_id, *map(o.get, _COLUMNS[1:])] for o in out], columns=_COLUMNS, dtype=object)
 
-    def _upsert(self, touched: dict[str, dict], r: dict, seq: int) -> None:
-        task_id = r["task_flow_id"]
-        if task_id not in touched and self.any_tasks and self.tasks.containsKey((task_id,)):
-            touched[task_id] = dict(zip(_TASK_FIELDS, self.tasks.getValue((task_id,))))
-        first = touched[task_id]["first_seq"] if task_id in touched else seq
-        touched[task_id] = {f: r.get(f) for f in _TASK_FIELDS} | {"first_seq": first, "batch_index": int(r["batch_index"])}
-
-    def _batch_rows(self, touched: dict[str, dict], index: int) -> list[dict]:
-        stored = self.tasks.iterator() if self.any_tasks else ()
-        known = {k[0]: dict(zip(_TASK_FIELDS, v)) for k, v in stored} | touched
-        return sorted((t for t in known.values() if t["batch_index"] == index), key=lambda t: t["first_seq"])
+    @staticmethod
+    def _upsert(touched: dict[str, dict], r: dict, seq: int) -> None:
+        first = touched.get(r["task_flow_id"], {}).get("first_seq", seq)
+        row = {f: r.get(f) for f in _TASK_FIELDS} | {"first_seq": first, "batch_index": int(r["batch_index"])}
+        touched[r["task_flow_id"]] = row
+
+    @staticmethod
+    def _entries(tasks: dict[str, dict]) -> list[tuple]:
+        return [(task_id, *(t[f] for f in _TASK_FIELDS)) for task_id, t in tasks.items()]
+
+    def _fold(self, touched: dict[str, dict]) -> dict[str, dict]:
+        """Latest state per task with its first position, stored updates first."""
+        known: dict[str, dict] = {}
+        stored = ((v[0], dict(zip(_TASK_FIELDS, v[1:]))) for v in self.tasks.get())
+        for task_id, t in (*stored, *touched.items()):
+            known[task_id] = t | {"first_seq": known[task_id]["first_seq"]} if task_id in known else t
+        return known
+
+    @staticmethod
+    def _batch_rows(tasks: dict[str, dict], index: int) -> list[dict]:
+        return sorted((t for t in tasks.values() if t["batch_index"] == index), key=lambda t: t["first_seq"])
 
     def close(self) -> None:
         pass

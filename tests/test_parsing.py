@@ -18,8 +18,8 @@ def one(spark, expr, **values):
 
 def test_bodies_tell_bad_text_from_an_empty_object(spark):
     texts = [None, "", "  ", "{bad", "null", "[]", '"x"', "{}", '{"taskStatusCode":"X"}', ' {"taskStatusCode":"Y","more":1}']
-    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, j string")
-    got = [r for r in rows.select("i", body.verdict_of_json(F.col("j")).alias("v")).orderBy("i").collect()]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, result_json string")
+    got = E.with_json_verdict(rows).selectExpr("i", "verdict as v").orderBy("i").collect()
     assert [r.v.parsed for r in got] == [False] * 7 + [True] * 3
     assert [r.v.status_code for r in got][-3:] == [None, "X", "Y"]
 
@@ -27,7 +27,8 @@ def test_bodies_tell_bad_text_from_an_empty_object(spark):
 def test_first_attribute_stops_at_the_first_match(spark):
     j = json.dumps({"taskFlowResponse": {"characteristic": [
         None, {"name": "other", "value": "1"}, {"name": "TASKSTATUS", "value": None}, {"name": "taskStatus", "value": "Failed"}]}})
-    assert one(spark, body.verdict_of_json(F.col("j"))["body_status"], j=j) is None
+    rows = spark.createDataFrame([(j,)], "result_json string")
+    assert E.with_json_verdict(rows).first().verdict.body_status is None
 
 
 def test_blank_keys_and_zero_codes(spark):
