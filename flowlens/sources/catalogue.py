@@ -7,7 +7,6 @@ from collections.abc import Iterable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from flowlens import schemas as S
@@ -42,15 +41,14 @@ def _inline(spark: SparkSession, rows: list[dict], schema: str) -> DataFrame:
 
 
 def read_dag_documents(spark: SparkSession, path: str) -> DataFrame:
-    """One JSON document per file, numbered in file-name order; a malformed file is skipped."""
-    docs = (
+    """One JSON document per file, in file-name order; a malformed file is skipped."""
+    return (
         spark.read.schema(S.DAG_DOCUMENT.rsplit(",", 1)[0])
         .option("multiLine", True)
         .option("mode", "DROPMALFORMED")
         .json(path)
-        .withColumn("_file", F.input_file_name())
+        .withColumn("load_pos", F.input_file_name())
     )
-    return docs.withColumn("load_pos", F.rank().over(W.orderBy("_file")).cast("long")).drop("_file")
 
 
 def dag_documents(spark: SparkSession, documents: Iterable[dict | None]) -> DataFrame:
