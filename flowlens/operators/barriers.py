@@ -21,6 +21,9 @@ from flowlens.sources.catalogue import Catalogue
 c = F.col
 FLOW = "correlation_id"
 
+# Deep catalogues: steps planned together before their result is stored and read back.
+CUT_EVERY = 4
+
 # Final status texts and default reasons.
 ERROR, FAILED, ERROR_701, PASSED = "ERROR", "FAILED", "ERROR_701", "Passed"
 REASON_SUCCESS = "Process Flow Success"
@@ -145,6 +148,8 @@ def closing_positions(ledger: DataFrame, catalogue: Catalogue) -> DataFrame:
     flows = seeds(ledger, catalogue).withColumn("history", F.array().cast(f"array<{_BARRIER}>"))
     for index in range(catalogue.depth):
         flows = count_step(flows, events, catalogue, index)
+        if index % CUT_EVERY == CUT_EVERY - 1:
+            flows = cut(flows)
     return cut(flows.select(FLOW, "history"))
 
 

@@ -95,3 +95,11 @@ def test_rows_per_flow_are_limited_before_the_shuffle(spark):
     events = B.routing.countable(led).select("correlation_id", "chunk", "arrival_seq", "batch_index", "failed")
     plan = B.count_step(flows, events, cat, 0)._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan and "Partial" in plan and "Final" in plan
+
+
+def test_a_deep_catalogue(spark):
+    dags = {"deep": [(i, ["a"]) for i in range(6)]}
+    m = [start("f", "deep"), start("g", "deep")]
+    m += [event("f", "COMPLETED", i, f"t{i}") for i in range(6)] + [event("g", "COMPLETED", i, f"t{i}") for i in (0, 1, 3)]
+    table, ends = same_as_replay(spark, m, dags)
+    assert len(table) == 9 and [e[0] for e in ends] == ["f"]
