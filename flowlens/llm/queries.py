@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from flowlens.llm import simhash
+from flowlens.llm import pii, secrets, simhash
 from flowlens.llm.common import table
 
 
@@ -14,8 +14,16 @@ def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.op9(table(spark, sf_dir, "documents"))
 
 
+def op4_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.op4(table(spark, sf_dir, "documents"))
+
+
+def op10_pii_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.op10(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op9_simhash_near_dedup,)
+    f.__name__: f for f in (op4_secret_ledger, op9_simhash_near_dedup, op10_pii_disclosure)
 }
 
 ORACLE: dict[str, str] = {}
