@@ -14,6 +14,8 @@ _MIX = np.uint64(0x9E3779B97F4A7C15)
 _BASE = np.uint64(0xD6E8FEB86659FD93)
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+LETTERS = np.zeros(256, bool)
+LETTERS[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -97,14 +99,18 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Words:
-    """White-space separated, ASCII lower-cased words of a slice of texts: positions, 64-bit hashes, documents."""
+    """ASCII lower-cased words of a slice of texts: byte positions, 64-bit hashes, documents.
 
-    def __init__(self, column: pa.Array):
-        data, self.ends = utf8(column)
+    Words are what white space parts, or with ``solid`` the runs of the bytes that it marks.
+    """
+
+    def __init__(self, column: pa.Array, solid: np.ndarray = ~_SPACE):
+        self.raw, self.ends = utf8(column)
+        data = self.raw
         self.data = _LOWER[data]
         n = len(self.data)
         self.n_docs = len(self.ends)
-        solid = ~_SPACE[self.data]
+        solid = solid[self.data]
         edge = np.zeros(n + 1, bool)
         edge[self.ends] = True
         edge[0] = True

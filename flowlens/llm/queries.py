@@ -6,14 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from flowlens.llm import pii, secrets, simhash
+from flowlens.llm import pii, quality, secrets, simhash, toxicity
 from flowlens.llm.common import table
 
 
+def op8_toxicity_instances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.op8(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.op9(table(spark, sf_dir, "documents"))
 
 
+def op2_quality_factorisation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.op2(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.op4(table(spark, sf_dir, "documents"))
 
@@ -23,7 +31,9 @@ def op10_pii_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op4_secret_ledger, op9_simhash_near_dedup, op10_pii_disclosure)
+    f.__name__: f for f in (
+        op2_quality_factorisation, op4_secret_ledger, op8_toxicity_instances, op9_simhash_near_dedup, op10_pii_disclosure,
+    )
 }
 
 ORACLE: dict[str, str] = {}
