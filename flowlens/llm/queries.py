@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from flowlens.llm import pii, quality, secrets, simhash, toxicity
+from flowlens.llm import packing, pii, quality, secrets, simhash, toxicity
 from flowlens.llm.common import table
 
 
+def op5_packing_column_generation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.op5(table(spark, sf_dir, "documents"))
+
+
 def op8_toxicity_instances(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.op8(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -32,7 +36,8 @@ def op10_pii_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op2_quality_factorisation, op4_secret_ledger, op8_toxicity_instances, op9_simhash_near_dedup, op10_pii_disclosure,
+        op2_quality_factorisation, op4_secret_ledger, op5_packing_column_generation, op8_toxicity_instances,
+        op9_simhash_near_dedup, op10_pii_disclosure,
     )
 }
 
