@@ -27,7 +27,7 @@ SIZE = 2048
 STEP = 8
 END_ID = 1
 VOCABULARY = "word_bpe_49k.json"
-CACHE_WORDS = 400_000
+CACHE_WORDS = 900_000
 JOIN_WORDS = 512
 _PLAIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+[.,]?")
 

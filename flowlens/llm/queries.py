@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from flowlens.llm import packing, pii, quality, secrets, simhash, toxicity
+from flowlens.llm import decontamination, packing, pii, quality, secrets, simhash, toxicity
 from flowlens.llm.common import table
 
 
@@ -26,6 +26,10 @@ def op2_quality_factorisation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.op2(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.op3(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.op4(table(spark, sf_dir, "documents"))
 
@@ -36,9 +40,9 @@ def op10_pii_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op2_quality_factorisation, op4_secret_ledger, op5_packing_column_generation, op8_toxicity_instances,
+        op2_quality_factorisation, op3_template_decontamination, op4_secret_ledger, op5_packing_column_generation, op8_toxicity_instances,
         op9_simhash_near_dedup, op10_pii_disclosure,
     )
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op3_template_decontamination": decontamination.ORACLE_SQL}
