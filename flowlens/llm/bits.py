@@ -24,3 +24,15 @@ def sieve(hashes: DataFrame, slots: int = 1 << 17) -> Callable[[str], str]:
     return lambda h: (
         f"getbit(get({table}, CAST(pmod({h}, {slots}) div 64 AS INT)), CAST(pmod({h}, {slots}) % 64 AS INT)) = 1"
     )
+
+
+def split_join(rows: DataFrame, h: str, other: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``rows`` whose hash (SQL ``h``) is surely not in ``other.h``, and the few that have to join ``other`` to know."""
+    passes = sieve(other.select("h"))(h)
+    return rows.where(f"NOT ({passes})"), rows.where(passes)
+
+
+def without(rows: DataFrame, h: str, bad: DataFrame) -> DataFrame:
+    """``rows`` whose hash (SQL ``h``) is not in ``bad.h``; only those that the sieve can't clear are shuffled."""
+    clear, doubtful = split_join(rows, h, bad)
+    return clear.unionByName(doubtful.join(bad.select(F.col("h").alias("_bad")), F.expr(f"{h} = _bad"), "left_anti"))

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowlens.llm.bits import sieve
+from flowlens.operators.storage import cut
 
 WINDOW = 5
 SHARE = 0.8
@@ -83,7 +84,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = SHARE) ->
     rows give one row, as do repeated items. Rows with a null id are left out. Other columns are not read. Empty tables give
     no rows.
     """
-    found = matches(docs.where("doc_id IS NOT NULL"), benchmark.where("item_id IS NOT NULL"))
+    found = cut(matches(docs.where("doc_id IS NOT NULL"), benchmark.where("item_id IS NOT NULL")))
     pair = F.explode(F.array(F.struct(F.col("its_first").alias("a"), F.col("first").alias("b")),
                              F.struct(F.col("its_last").alias("a"), F.col("last").alias("b"))))
     keys = ["doc_id", "item_id", "shift"]

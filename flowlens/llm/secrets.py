@@ -12,7 +12,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flowlens.llm.spans import Rule, digest_text, listed, locate
+from flowlens.llm.bits import split_join
+from flowlens.llm.spans import Rule, digest_text, listed, locate, replaced
 from flowlens.operators.storage import fresh_dir
 
 #: Fixed values of the contract.
@@ -88,6 +89,29 @@ def scan(docs: DataFrame) -> DataFrame:
     return ledger.findings(docs)
 
 
+def redacted(docs: DataFrame, mark: str = "<SECRET>") -> DataFrame:
+    """``docs`` with the same columns and rows, every finding of the ledger replaced in the text, ``n_chars`` following it.
+
+    Texts without a finding stay as they are, nulls included.
+    """
+    ledger = Ledger(fresh_dir(docs.sparkSession, "blob-ledger"))
+    ledger.commit(docs)
+    have = ledger.read(docs).where(F.size("findings") > 0).select(
+        F.col("blob").alias("_blob"), F.col("findings").alias("_findings"), F.xxhash64("blob").alias("h")
+    )
+    address = "sha2(coalesce(text, ''), 256)"
+    clear, doubtful = split_join(docs, f"xxhash64({address})", have)
+    met = doubtful.join(have.drop("h"), F.expr(f"{address} = _blob"), "left")
+    new = F.when(F.col("_findings").isNull(), F.col("text")).otherwise(replaced("text", "_findings", f"'{mark}'"))
+    met = met.withColumn("_new", new)
+    fields = {"text": F.col("_new").alias("text")}
+    if "n_chars" in docs.columns:
+        kind = docs.schema["n_chars"].dataType
+        fields["n_chars"] = F.when(F.col("_findings").isNull(), F.col("n_chars")).otherwise(
+            F.length("_new").cast(kind)).alias("n_chars")
+    return clear.unionByName(met.select(*[fields.get(c, F.col(f"`{c}`")) for c in docs.columns]))
+
+
 def count_of(kind: str) -> Column:
     return F.expr(f"CAST(size(filter(findings, s -> s.kind = '{kind}')) AS BIGINT)").alias(f"n_{kind}")
 

@@ -45,15 +45,15 @@ def fingerprint(text: bytes, width: int) -> int:
 
 
 def fingerprints(docs: DataFrame, width: int = 4) -> DataFrame:
-    """(doc_id, fp): the fingerprint of every whole text as a signed long; a null text counts as empty."""
+    """(doc_id, sign, fp): a hash of every whole text and its fingerprint, as signed longs; a null text counts as empty."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         made = np.array([fingerprint(t.encode(), width) for t in batch.column("text").to_pylist()], np.uint64)
         return pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array(made.view(np.int64))], names=["doc_id", "fp"]
+            [batch.column("doc_id"), batch.column("sign"), pa.array(made.view(np.int64))], names=["doc_id", "sign", "fp"]
         )
 
-    return arrow_map(texts(docs), "doc_id long, fp long", run)
+    return arrow_map(texts(docs).withColumn("sign", F.xxhash64("text")), "doc_id long, sign long, fp long", run)
 
 
 def segments(distance: int) -> list[tuple[int, int, int]]:
@@ -100,18 +100,29 @@ def link_components(fps: DataFrame, distance: int) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, width: int = 4, distance: int = 4) -> DataFrame:
-    """(doc_id, fp, component_id): every document with its fingerprint and the smallest doc_id reachable by links.
+    """(doc_id, sign, fp, comp, component_id): every document with its fingerprint and the smallest doc_id reachable by links.
 
-    Null and empty texts have fingerprint zero and link like any other; documents of fewer than ``width`` words have the
-    fingerprint of their whole word sequence. Repeated rows stay repeated. A null doc_id is kept and takes the component of
-    its fingerprint. Other columns of ``docs``, whatever their names, are not read. An empty table gives no rows.
+    ``sign`` is a hash of the text and ``comp`` the smallest fingerprint reachable. Null and empty texts have fingerprint zero
+    and link like any other; documents of fewer than ``width`` words have the fingerprint of their whole word sequence.
+    Repeated rows stay repeated. A null doc_id is kept and takes the component of its fingerprint. Other columns of ``docs``,
+    whatever their names, are not read. An empty table gives no rows.
     """
     marked = cut(fingerprints(docs, width))
     distinct = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("least")))
     group = cut(distinct.join(link_components(distinct, distance), "fp"))
     smallest = group.groupBy("comp").agg(F.min("least").alias("component_id"))
-    named = cut(group.join(smallest, "comp").select("fp", "component_id"))
-    return marked.join(named, "fp").select("doc_id", "fp", "component_id")
+    named = cut(group.join(smallest, "comp").select("fp", "comp", "component_id"))
+    return marked.join(named, "fp").select("doc_id", "sign", "fp", "comp", "component_id")
+
+
+def one_each(docs: DataFrame, width: int = 4, distance: int = 4) -> DataFrame:
+    """One row of ``docs`` per group of near duplicates, all columns as they are: the smallest doc_id, then the smallest hash."""
+    rank = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("_id"), F.col("sign").alias("_sign"))
+    kept = near_duplicates(docs, width, distance).groupBy("comp").agg(F.min(rank).alias("k")).select("k._id", "k._sign")
+    sign = F.xxhash64(F.coalesce("text", F.lit("")))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_sign"))
+    rows = docs.withColumn("_text", sign).join(cut(kept).hint("shuffle_hash"), same)
+    return rows.dropDuplicates(["_id", "_sign"]).select(*[f"`{c}`" for c in docs.columns])
 
 
 def op9(docs: DataFrame) -> DataFrame:

@@ -84,3 +84,11 @@ def listed(kinds: list[str], by_start: bool) -> Column:
 def digest_text(spans: str) -> Column:
     """``kind:start:end`` of every span, comma-joined."""
     return F.expr(f"array_join(transform({spans}, s -> concat_ws(':', s.kind, s.start, s.end)), ',')")
+
+
+def replaced(text: str, spans: str, label: str) -> Column:
+    """``text`` with each of the ``spans``, in order of start, replaced by the SQL ``label`` of s; of two that overlap the first."""
+    return F.expr(f"""
+      aggregate({spans}, named_struct('at', 0, 'out', ''), (acc, s) -> CASE WHEN s.start < acc.at THEN acc ELSE named_struct(
+        'at', s.end, 'out', concat(acc.out, substring({text}, acc.at + 1, s.start - acc.at), {label})) END,
+        acc -> concat(acc.out, substring({text}, acc.at + 1)))""")

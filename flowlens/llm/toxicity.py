@@ -183,6 +183,16 @@ def score(docs: DataFrame, model: Model, offending: float = 0.5) -> DataFrame:
     )
 
 
+def accepted(docs: DataFrame, model: Model, limit: float = 0.5) -> DataFrame:
+    """The rows of ``docs``, all columns as they are, whose whole text scores below ``limit``."""
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        b = bags(Words(batch.column(batch.schema.get_field_index("text")), LETTERS))
+        return batch.filter(pa.array(noisy_or(model.sentence_logits(b), b.doc, batch.num_rows) < limit))
+
+    return arrow_map(docs, docs.schema, run)
+
+
 def op8(docs: DataFrame, labels: DataFrame) -> DataFrame:
     scored = score(docs, train(docs, labels))
     return scored.select(
