@@ -35,12 +35,14 @@ def spread(spark: SparkSession, least: int = 1) -> int:
     return max(least, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def arrow_map(df: DataFrame, schema: str | StructType, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None]) -> DataFrame:
+def arrow_map(
+    df: DataFrame, schema: str | StructType, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], most: int = SLICE_BYTES
+) -> DataFrame:
     """``fn`` on every Arrow batch, cut into slices so that one slice holds few bytes of text at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, most):
                 made = fn(part)
                 if made is not None:
                     yield made
@@ -48,15 +50,15 @@ def arrow_map(df: DataFrame, schema: str | StructType, fn: Callable[[pa.RecordBa
     return df.mapInArrow(run, schema)
 
 
-def slices(batch: pa.RecordBatch, column: str = "text") -> Iterator[pa.RecordBatch]:
-    """Row slices of about ``SLICE_BYTES`` of text each (one row at least)."""
+def slices(batch: pa.RecordBatch, most: int, column: str = "text") -> Iterator[pa.RecordBatch]:
+    """Row slices of about ``most`` bytes of text each (one row at least)."""
     if column not in batch.schema.names or batch.num_rows == 0:
         yield batch
         return
     _, ends = utf8(batch.column(column))
     at = 0
     while at < batch.num_rows:
-        to = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + SLICE_BYTES, side="right"))
+        to = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, side="right"))
         to = max(to, at + 1)
         yield batch.slice(at, to - at)
         at = to

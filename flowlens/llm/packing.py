@@ -27,8 +27,9 @@ SIZE = 2048
 STEP = 8
 END_ID = 1
 VOCABULARY = "word_bpe_49k.json"
-CACHE_WORDS = 900_000
+CACHE_WORDS = 500_000
 JOIN_WORDS = 512
+SLICE_BYTES = 4 << 20
 _PLAIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+[.,]?")
 
 
@@ -108,7 +109,7 @@ def token_pieces(docs: DataFrame, vocabulary: str = VOCABULARY, size: int = SIZE
             names=["doc_id", "start", "length", "ids", "doc_tokens"],
         )
 
-    return arrow_map(texts(docs), "doc_id long, start long, length long, ids binary, doc_tokens long", run)
+    return arrow_map(texts(docs), "doc_id long, start long, length long, ids binary, doc_tokens long", run, SLICE_BYTES)
 
 
 @dataclass

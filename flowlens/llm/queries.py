@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from flowlens.llm import decontamination, packing, pii, quality, secrets, simhash, toxicity
+from flowlens.llm import (
+    decontamination, embeddings, packing, pii, quality, rollups, secrets, simhash, suffixes, toxicity,
+)
 from flowlens.llm.common import table
 
 
@@ -14,6 +16,14 @@ def op5_packing_column_generation(spark: SparkSession, sf_dir: str) -> DataFrame
     return packing.op5(table(spark, sf_dir, "documents"))
 
 
+def op6_token_rollups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rollups.op6(table(spark, sf_dir, "documents"))
+
+
+def op7_sparse_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.op7(table(spark, sf_dir, "documents"))
+
+
 def op8_toxicity_instances(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.op8(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -22,6 +32,10 @@ def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.op9(table(spark, sf_dir, "documents"))
 
 
+def op1_collision_counting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.op1(table(spark, sf_dir, "embeddings"))
+
+
 def op2_quality_factorisation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.op2(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -40,7 +54,8 @@ def op10_pii_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op2_quality_factorisation, op3_template_decontamination, op4_secret_ledger, op5_packing_column_generation, op8_toxicity_instances,
+        op1_collision_counting, op2_quality_factorisation, op3_template_decontamination, op4_secret_ledger,
+        op5_packing_column_generation, op6_token_rollups, op7_sparse_suffixes, op8_toxicity_instances,
         op9_simhash_near_dedup, op10_pii_disclosure,
     )
 }

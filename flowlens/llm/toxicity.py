@@ -20,7 +20,7 @@ from flowlens.llm.learn import fold, teaching_sample
 BITS = 20
 STEMS = (4, 5)
 FOLDS, HELD_OUT = 5, 0
-SAMPLE_ROWS = 5000
+SAMPLE_ROWS = 4000
 LEAST_DOCS = 3
 BEYOND = 3.0
 _ENDS = np.zeros(256, bool)
