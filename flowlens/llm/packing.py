@@ -15,6 +15,7 @@ from dataclasses import dataclass
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -29,7 +30,7 @@ END_ID = 1
 VOCABULARY = "word_bpe_49k.json"
 CACHE_WORDS = 500_000
 JOIN_WORDS = 512
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 8 << 20
 _PLAIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+[.,]?")
 
 
@@ -66,18 +67,31 @@ class Encoder:
         made = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
         return {w: np.array(e.ids, "<u4").tobytes() for w, e in zip(words, made, strict=True)}
 
-    def encode(self, batch: list[str]) -> list[bytes]:
-        split = [t.replace("\n", " ").split(" ") for t in batch]
-        new = set().union(*split).difference(self.known)
-        plain = [w for w in new if _PLAIN.fullmatch(w)]
-        got = self._plain(plain) | self._any(list(new.difference(plain)))
+    def _ids(self, words: list[str]) -> list[bytes]:
+        """Ids of distinct words; the cache takes new ones while it has room."""
+        plain, other = [], []
+        for w in words:
+            if w not in self.known:
+                (plain if _PLAIN.fullmatch(w) else other).append(w)
+        got = self._plain(plain) | self._any(other)
         if len(self.known) + len(got) <= CACHE_WORDS:
             self.known.update(got)
-            find = self.known.__getitem__
-        else:
-            known = self.known
-            find = lambda w: got[w] if w in got else known[w]
-        return [b"".join(map(find, words)) for words in split]
+            return [self.known[w] for w in words]
+        return [got[w] if w in got else self.known[w] for w in words]
+
+    def encode(self, column: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts one after another, ``end_id`` after each text, and where each text's ids end.
+
+        Only the distinct words of the slice pass through Python; Arrow splits, numbers and gathers the rest.
+        """
+        parts = pc.split_pattern(pc.replace_substring(column.cast(pa.large_string()), "\n", " "), " ")
+        numbered = parts.flatten().dictionary_encode()
+        words = self._ids(numbered.dictionary.to_pylist()) + [np.array([end_id], "<u4").tobytes()]
+        ends = parts.offsets.to_numpy() - parts.offsets[0].as_py()
+        order = np.insert(numbered.indices.to_numpy(), ends[1:], len(words) - 1)
+        spans = pa.array(words, pa.large_binary()).take(pa.array(order))
+        stops = np.frombuffer(spans.buffers()[1], np.int64)[:len(spans) + 1]
+        return np.frombuffer(spans.buffers()[2], "<u4")[:stops[-1] // 4], stops[ends[1:] + np.arange(1, len(ends))] // 4
 
 
 _encoders: dict[str, Encoder] = {}
@@ -96,16 +110,20 @@ def token_pieces(docs: DataFrame, vocabulary: str = VOCABULARY, size: int = SIZE
     ``ids`` holds little-endian unsigned 32-bit numbers. A null or empty text is one piece of ``end_id`` alone.
     """
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        last = np.array([end_id], "<u4").tobytes()
-        rows = []
-        for doc, raw in zip(batch.column(0).to_pylist(), encoder(vocabulary).encode(batch.column(1).to_pylist()), strict=True):
-            raw += last
-            n = len(raw) // 4
-            rows += [(doc, a, min(size, n - a), raw[4 * a:4 * (a + size)], n) for a in range(0, n, size)]
-        columns = zip(*rows, strict=True)
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+        if batch.num_rows == 0:
+            return None
+        ids, ends = encoder(vocabulary).encode(batch.column(1), end_id)
+        begins = np.concatenate(([0], ends[:-1]))
+        totals = ends - begins
+        pieces = -(-totals // size)
+        doc = np.repeat(np.arange(len(ends)), pieces)
+        start = (np.arange(len(doc)) - np.repeat(np.cumsum(pieces) - pieces, pieces)) * size
+        length = np.minimum(size, totals[doc] - start)
+        borders = np.concatenate(((begins[doc] + start) * 4, ends[-1:] * 4)).astype(np.int32)
+        raw = pa.BinaryArray.from_buffers(pa.binary(), len(doc), [None, pa.py_buffer(borders), pa.py_buffer(ids)])
         return pa.RecordBatch.from_arrays(
-            [pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64()), strict=True)],
+            [batch.column(0).take(pa.array(doc)), pa.array(start), pa.array(length), raw, pa.array(totals[doc])],
             names=["doc_id", "start", "length", "ids", "doc_tokens"],
         )
 

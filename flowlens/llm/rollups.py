@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowlens.llm.common import arrow_map
-from flowlens.llm.packing import SLICE_BYTES, VOCABULARY, encoder
+from flowlens.llm.packing import END_ID, SLICE_BYTES, VOCABULARY, encoder
 from flowlens.operators.storage import cut, fresh_dir
 
 KEYS = ["source", "lang", "tokenizer_version"]
@@ -25,9 +25,11 @@ _DELTA = "source string, lang string, tokenizer_version string, documents long,
 def token_counts(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """(doc_id, source, lang, tokenizer_version, tokens) of every whole text; a null text has none."""
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        made = encoder(vocabulary).encode(batch.column(batch.schema.get_field_index("text")).to_pylist())
-        tokens = pa.array(np.array([len(raw) // 4 for raw in made], np.int64))
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+        if batch.num_rows == 0:
+            return None
+        _, ends = encoder(vocabulary).encode(batch.column(batch.schema.get_field_index("text")), END_ID)
+        tokens = pa.array(np.diff(ends, prepend=0) - 1)
         keep = [batch.column(i) for i in range(3)]
         return pa.RecordBatch.from_arrays([*keep, tokens], names=["doc_id", "source", "lang", "tokens"])
 
