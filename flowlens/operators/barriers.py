@@ -14,16 +14,13 @@ from pyspark.sql import functions as F
 
 from flowlens.functions.text import is_blank, pending, same_text
 from flowlens.operators import routing
-from flowlens.operators.skew import CHUNK, spread_join
+from flowlens.operators.skew import CHUNK, number_rows, spread_join
 from flowlens.operators.storage import cut
 from flowlens.sources.catalogue import Catalogue
 
 c = F.col
 FLOW = "correlation_id"
 
-# Deep catalogues: steps planned together before their result is stored and read back.
-CUT_EVERY = 4
-
 # Final status texts and default reasons.
 ERROR, FAILED, ERROR_701, PASSED = "ERROR", "FAILED", "ERROR_701", "Passed"
 REASON_SUCCESS = "Process Flow Success"
@@ -80,31 +77,26 @@ def next_batches(closed: DataFrame, catalogue: Catalogue) -> DataFrame:
 def count_step(flows: DataFrame, events: DataFrame, catalogue: Catalogue, index: int) -> DataFrame:
     """Count batch ``index`` of every flow that has it open, close it when drained, open the next one.
 
-    Only the first ``task_total`` countable events after opening matter. Events meet their flow on (flow, chunk)
-    pieces, and the literal bound on the row number lets Spark keep a few rows per flow in each task before the
-    shuffle (group limit). Flows without an open batch pass through untouched.
+    Only the first ``task_total`` countable events after opening matter. Events meet the narrow open flows on (flow,
+    chunk) pieces and are ranked within a piece; one row per piece carries the counts of earlier pieces. What is left is
+    summed map-side, so neither a hot flow nor a wide batch gathers its events in one task.
     """
-    mine = events.filter(c("batch_index") == index)
-    spans = mine.select(c(FLOW).alias("_f"), c(CHUNK).alias("_chunk")).distinct()
-    hits = mine.select(c(FLOW).alias("_ef"), c(CHUNK).alias("_ec"), c("arrival_seq").alias("_seq"), "failed")
     open_row = c("opened_seq").isNotNull()
-    met = flows.join(
-        spans, (c(FLOW) == c("_f")) & open_row & (c("_chunk") >= c("opened_chunk")), "left"
-    ).join(
-        hits, (c(FLOW) == c("_ef")) & (c("_chunk") == c("_ec")) & (c("_seq") > c("opened_seq")), "left"
-    )
-    kept = (
-        met.select(*flows.columns, "_chunk", "_seq", "failed")
-        .withColumn("_rn", F.row_number().over(W.partitionBy(FLOW).orderBy(c("_seq").asc_nulls_last())))
-        .filter(c("_rn") <= max(catalogue.widest, 1))
+    opened = flows.filter(open_row).select(FLOW, "task_total", "opened_seq")
+    mine = events.filter(c("batch_index") == index).select(FLOW, CHUNK, "arrival_seq", "failed")
+    after = spread_join(mine, opened, FLOW).filter(c("arrival_seq") > c("opened_seq"))
+    first = number_rows(after, [FLOW], ["arrival_seq"], "_rn").filter(c("_rn") <= c("task_total"))
+    found = first.groupBy(FLOW).agg(
+        F.count(F.when(~c("failed"), 1)).cast("int").alias("_ok"),
+        F.count(F.when(c("failed"), 1)).cast("int").alias("_fail"),
+        F.max("arrival_seq").alias("_seq"),
+        F.max(CHUNK).alias("_chunk"),
     )
-    counts = c("_seq").isNotNull() & (c("_rn") <= c("task_total"))
-    carried = [n for n in flows.columns if n != FLOW]
-    done = kept.groupBy(FLOW).agg(
-        *[F.first(n).alias(n) for n in carried],
-        F.count(F.when(counts & ~c("failed"), 1)).cast("int").alias("_done"),
-        F.count(F.when(counts & c("failed"), 1)).cast("int").alias("_bad"),
-        F.max(F.when(counts, F.struct("_seq", "_chunk"))).alias("_last"),
+    done = flows.join(found, FLOW, "left").select(
+        *flows.columns,
+        F.coalesce("_ok", F.lit(0)).alias("_done"),
+        F.coalesce("_fail", F.lit(0)).alias("_bad"),
+        F.struct("_seq", "_chunk").alias("_last"),
     )
     done = done.withColumn(
         "_closed", F.when(pending(c("task_total"), c("_done"), c("_bad")) == 0, c("_last._seq"))
@@ -148,8 +140,8 @@ def closing_positions(ledger: DataFrame, catalogue: Catalogue) -> DataFrame:
     flows = seeds(ledger, catalogue).withColumn("history", F.array().cast(f"array<{_BARRIER}>"))
     for index in range(catalogue.depth):
         flows = count_step(flows, events, catalogue, index)
-        if index % CUT_EVERY == CUT_EVERY - 1:
-            flows = cut(flows)
+        if index < catalogue.depth - 1:
+            flows = cut(flows)  # each step reads the flows more than once
     return cut(flows.select(FLOW, "history"))
 
 
@@ -304,7 +296,7 @@ def flow_ends(barriers: DataFrame, ledger: DataFrame, catalogue: Catalogue) -> D
         .otherwise(c("status_change_reason"))
         .alias("status_change_reason"),
     )
-    return ends.unionByName(empty_starts(barriers, ledger, catalogue))
+    return ends.unionByName(empty_starts(barriers, ledger, catalogue).drop("dag_key"))
 
 
 def empty_batch_message(dag: Column, index: Column) -> Column:
@@ -328,5 +320,6 @@ def empty_starts(barriers: DataFrame, ledger: DataFrame, catalogue: Catalogue) -
             empty_batch_message(c("dag_key"), F.lit(0)).alias("message"),
             F.lit(FAILED).alias("process_status"),
             F.lit(REASON_NO_TASK).alias("status_change_reason"),
+            "dag_key",
         )
     )

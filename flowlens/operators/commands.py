@@ -140,7 +140,6 @@ def lifecycle_rows(barriers: DataFrame, ends: DataFrame, ledger: DataFrame, cata
     seeded = barriers.filter(c("batch_index") == 0)
     started = shape(seeded, F.lit("INITIAL"), "opened_seq", 0, c("dag_key"), none)
     hollow = B.empty_starts(barriers, ledger, catalogue)
-    hollow_dag = F.regexp_extract("message", r"^DAG (.*) batch \d+ has no actions$", 1)
-    announced = shape(hollow, F.lit("INITIAL"), "end_seq", 0, hollow_dag, none)
+    announced = shape(hollow, F.lit("INITIAL"), "end_seq", 0, c("dag_key"), none)
     ended = shape(ends, F.upper("state"), "end_seq", 1, none, c("message"))
     return started.unionByName(announced).unionByName(ended)

@@ -72,8 +72,8 @@ def latest_before(
     )
 
 
-def correlate_replies(waiting: DataFrame, replies: DataFrame, horizon: str = "7 days") -> DataFrame:
-    """Each reply with the waiting task its transaction id stands for at that moment, if within ``horizon``.
+def correlate_replies(waiting: DataFrame, replies: DataFrame, horizon: str | None = None) -> DataFrame:
+    """Each reply with the waiting task its transaction id stands for at that moment; a ``horizon`` limits its age.
 
     ``waiting``: transaction_id, arrival_seq, chunk, at, correlation_id, task_flow_id. A later registration of an id
     replaces the earlier one. ``replies``: transaction_id, arrival_seq, chunk, at.
@@ -95,7 +95,7 @@ def correlate_replies(waiting: DataFrame, replies: DataFrame, horizon: str = "7
     own = F.struct(c("arrival_seq").alias("seq"), c("at"), c("correlation_id"), c("task_flow_id"))
     tagged = latest_before(both.withColumn("_own", own), "transaction_id", c("_w"), ["_own"])
     found = c("found._own")
-    fresh = c("at") <= found["at"] + F.expr(f"INTERVAL {horizon}")
+    fresh = c("at") <= found["at"] + F.expr(f"INTERVAL {horizon}") if horizon else F.lit(True)
     return tagged.filter(~c("_w") & found.isNotNull() & fresh).select(
         "transaction_id",
         c("arrival_seq").alias("reply_seq"),

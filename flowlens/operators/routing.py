@@ -11,9 +11,9 @@ from flowlens.functions.text import is_blank, same_text
 c = F.col
 
 
-def routed(envelopes: DataFrame) -> DataFrame:
-    """Known messages with a ``route``; unnamed and unknown ones and our own commands are dropped."""
-    own = (c("message_name") == S.EXECUTE) & F.coalesce(c("source") == S.SOURCE_ENGINE, F.lit(False))
+def routed(envelopes: DataFrame, engine: str = S.SOURCE_ENGINE) -> DataFrame:
+    """Known messages with a ``route``; unnamed and unknown ones and the commands of ``engine`` are dropped."""
+    own = (c("message_name") == S.EXECUTE) & F.coalesce(c("source") == engine, F.lit(False))
     return envelopes.filter(c("message_name").isin(*S.MESSAGE_NAMES) & ~own).withColumn(
         "route",
         F.when(c("message_name") == S.INITIATED, "start_flow")
@@ -115,8 +115,8 @@ def _has(envelopes: DataFrame, path: str) -> Column:
     return c(path).isNotNull()
 
 
-def violations(envelopes: DataFrame) -> DataFrame:
-    """Adds ``violations``: names of the documented field rules each envelope breaks."""
+def violations(envelopes: DataFrame, sources: dict[str, str] = EXPECTED_SOURCE) -> DataFrame:
+    """Adds ``violations``: names of the documented field rules each envelope breaks. ``sources``: expected per message."""
     rules: list[Column] = []
 
     def rule(broken: Column, text: str) -> None:
@@ -127,7 +127,7 @@ def violations(envelopes: DataFrame) -> DataFrame:
     for message, fields in FIELD_MATRIX.items():
         mine = c("message_name") == message
         rule(mine & (c("message_type") != EXPECTED_TYPE[message]), "wrong message_type")
-        rule(mine & (c("source") != EXPECTED_SOURCE[message]), "wrong source")
+        rule(mine & (c("source") != sources[message]), "wrong source")
     paths = list(FIELD_MATRIX[S.INITIATED])
     for path in paths:
         required = [m for m, f in FIELD_MATRIX.items() if f[path] == "R"]
@@ -161,5 +161,5 @@ def has_task_ref() -> Column:
 
 def notification_kind(type_name: Column) -> Column:
     return F.when(same_text(type_name, "processFlow"), "flow_created").when(
-        same_text(type_name, "TaskFinalAsyncResponseSend"), "async_reply"
+        same_text(type_name, S.ASYNC_REPLY), "async_reply"
     )

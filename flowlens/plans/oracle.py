@@ -13,7 +13,7 @@ raw AS (
 ev AS (
   SELECT *, event_type = 'signup' AS is_start,
     CASE WHEN event_type = 'signup' THEN 'processFlow.initiated' ELSE 'task.event' END AS message_name,
-    CASE WHEN event_type = 'signup' THEN 'pamconsumer' ELSE 'task-runner' END AS source,
+    CASE WHEN event_type = 'signup' THEN 'intake' ELSE 'runner' END AS source,
     CASE WHEN event_type = 'signup' THEN concat('dag', user_id % 3) END AS dag_key,
     CASE WHEN event_type = 'view' THEN 'WAITING' WHEN event_type IN ('click', 'purchase') THEN 'COMPLETED'
          WHEN event_type = 'error' THEN 'FAILED' END AS status,
@@ -187,7 +187,7 @@ mixed AS (
     CASE WHEN seq % 10 IN (0, 1) THEN 'task.execute' WHEN seq % 10 = 2 THEN 'task.signal'
          WHEN seq % 10 = 3 THEN 'flow.lifecycle' WHEN seq % 10 = 4 THEN 'Task.Event'
          WHEN seq % 10 = 5 THEN NULL ELSE message_name END AS message_name,
-    CASE WHEN seq % 10 = 0 THEN 'task-orchestrator' WHEN seq % 10 = 9 THEN NULL ELSE source END AS source
+    CASE WHEN seq % 10 = 0 THEN 'engine' WHEN seq % 10 = 9 THEN NULL ELSE source END AS source
   FROM ev
 )"""
 
@@ -287,7 +287,7 @@ SELECT seq AS arrival_seq, flow AS correlation_id, message_name,
     WHEN 'task.signal' THEN 'log_signal' WHEN 'task.execute' THEN 'log_command' ELSE 'log_lifecycle' END AS route
 FROM mixed
 WHERE message_name IN ('processFlow.initiated', 'task.event', 'task.signal', 'task.execute', 'flow.lifecycle')
-  AND NOT (message_name = 'task.execute' AND source IS NOT DISTINCT FROM 'task-orchestrator')"""
+  AND NOT (message_name = 'task.execute' AND source IS NOT DISTINCT FROM 'engine')"""
 
 ORACLE["message_inventory"] = _with(_EV, _MIXED) + """
 SELECT message_name, source, status, count(*) AS messages FROM mixed GROUP BY ALL"""
@@ -299,14 +299,14 @@ ORACLE["conformance_report"] = _with(_EV) + """,
 changed AS (
   SELECT seq, message_name, is_start, CASE WHEN seq % 23 <> 0 THEN status END AS status,
     CASE WHEN seq % 29 = 0 THEN 'dagX' ELSE dag_key END AS dag_key,
-    CASE WHEN seq % 31 = 0 THEN 'task-orchestrator' ELSE source END AS source,
+    CASE WHEN seq % 31 = 0 THEN 'engine' ELSE source END AS source,
     CASE WHEN seq % 37 <> 0 THEN flow END AS flow
   FROM ev
 ),
 ruled AS (
   SELECT seq, message_name, concat_ws(',',
     CASE WHEN flow IS NULL THEN 'missing correlation_id' END,
-    CASE WHEN source <> CASE WHEN is_start THEN 'pamconsumer' ELSE 'task-runner' END THEN 'wrong source' END,
+    CASE WHEN source <> CASE WHEN is_start THEN 'intake' ELSE 'runner' END THEN 'wrong source' END,
     CASE WHEN NOT is_start AND dag_key IS NOT NULL THEN 'forbidden dag_key' END,
     CASE WHEN NOT is_start AND status IS NULL THEN 'missing status' END,
     CASE WHEN is_start AND status IS NOT NULL THEN 'forbidden status' END,
@@ -508,7 +508,7 @@ dep_map AS (
   FROM dep_row WHERE result_json IS NOT NULL GROUP BY ALL
 )
 SELECT x.flow AS correlation_id, 'task.execute' AS message_name, 'COMMAND' AS message_type,
-  'task-orchestrator' AS source, 'EXECUTE' AS intent, x.dag_key, x.b AS batch_index, x.total AS batch_total,
+  'engine' AS source, 'EXECUTE' AS intent, x.dag_key, x.b AS batch_index, x.total AS batch_total,
   a.name AS action_name, k.code AS action_code,
   coalesce((SELECT dcx FROM dcx WHERE key = CASE WHEN k.code LIKE '0%' THEN concat(k.code, ',DEFAULT,', a.modem_type)
                                             ELSE concat(k.code, ',', a.flow_type, ',DEFAULT') END),
@@ -525,11 +525,11 @@ ORACLE["missing_dependencies"] = _barriers() + "," + _DEPS + """
 SELECT flow AS correlation_id, b AS batch_index, action_pos, dependency FROM dep_row WHERE result_json IS NULL"""
 
 ORACLE["lifecycle_rows"] = _barriers() + "," + _ENDS + """
-SELECT flow AS correlation_id, 'flow.lifecycle' AS message_name, 'task-orchestrator' AS source, dag_key,
+SELECT flow AS correlation_id, 'flow.lifecycle' AS message_name, 'engine' AS source, dag_key,
   'INITIAL' AS status, NULL AS error_message, CAST(NULL AS BOOLEAN) AS error_retryable, opened AS lifecycle_seq,
   0 AS emit_pos FROM barrier WHERE b = 0
 UNION ALL
-SELECT flow, 'flow.lifecycle', 'task-orchestrator', NULL, upper(state), message,
+SELECT flow, 'flow.lifecycle', 'engine', NULL, upper(state), message,
   CASE WHEN state = 'failed' THEN FALSE END, end_seq, 1 FROM ends"""
 
 ORACLE["catalogue_steps"] = _with(_EV, _DAGS) + """
@@ -540,16 +540,16 @@ LEFT JOIN dags x ON x.dag_key = d.dag_key AND x.b = d.b + 1"""
 
 ORACLE["initiations_from_notifications"] = """
 SELECT o_orderkey AS arrival_seq, CAST(o_orderkey AS VARCHAR) AS correlation_id, '1.0' AS schema_version,
-  'EVENT' AS message_type, 'processFlow.initiated' AS message_name, 'pamconsumer' AS source,
+  'EVENT' AS message_type, 'processFlow.initiated' AS message_name, 'intake' AS source,
   o_orderpriority AS dag_key, o_orderstatus AS flow_state
 FROM orders WHERE o_orderkey % 3 <> 2 AND o_orderkey % 19 <> 0 AND o_orderkey % 17 <> 0
   AND o_orderpriority IS NOT NULL"""
 
 ORACLE["signals_from_notifications"] = _with(_EV, _SIGNALS) + """
 SELECT seq AS arrival_seq, flow AS correlation_id, 'SIGNAL' AS message_type, 'task.signal' AS message_name,
-  'pamconsumer' AS source, txn AS transaction_id,
+  'intake' AS source, txn AS transaction_id,
   CASE WHEN k % 2 = 0 THEN 'TaskFinalAsyncResponseSend' ELSE 'taskfinalasyncresponsesend' END AS external_type,
-  CASE WHEN k % 3 <> 0 THEN 'ACUT' ELSE 'UNKNOWN' END AS reporting_system
+  CASE WHEN k % 3 <> 0 THEN 'desk' ELSE 'UNKNOWN' END AS reporting_system
 FROM reply WHERE txn IS NOT NULL"""
 
 ORACLE["signals_correlated"] = _with(_EV, _SIGNALS) + """,
@@ -559,7 +559,7 @@ pick AS (
   FROM reply r JOIN waiting w ON w.txn = r.txn AND w.seq <= r.seq
 )
 SELECT txn AS transaction_id, reply_seq, waiting_seq, flow AS correlation_id, task AS task_flow_id
-FROM pick WHERE back = 1 AND reply_ts <= ts + INTERVAL 7 DAYS"""
+FROM pick WHERE back = 1"""
 
 _KEYS = """
 wanted AS (

@@ -569,13 +569,13 @@ def reply_notifications(events: DataFrame) -> DataFrame:
     return rows.select(
         "arrival_seq",
         c("event_time").alias("at"),
-        F.when(c("k") % 2 == 0, "TaskFinalAsyncResponseSend").otherwise("taskfinalasyncresponsesend").alias("@type"),
+        F.when(c("k") % 2 == 0, S.ASYNC_REPLY).otherwise(S.ASYNC_REPLY.lower()).alias("@type"),
         none.alias("id"),
         none.alias("processFlowSpecification"),
         c("correlation_id").alias("correlationId"),
         c("event_id").alias("eventId"),
         F.struct(F.when(c("k") % 17 != 0, txn).alias("id"), none.alias("href")).alias("event"),
-        F.when(c("k") % 3 != 0, F.struct(F.lit("ACUT").alias("id"))).alias("reportingSystem"),
+        F.when(c("k") % 3 != 0, F.struct(F.lit("desk").alias("id"))).alias("reportingSystem"),
     )
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from flowlens import schemas as S
 from flowlens.operators.storage import fresh_dir
 from flowlens.plans import queries as Q
 from flowlens.sources import adapters as A
@@ -73,8 +74,8 @@ def stream_lifecycle(spark: SparkSession, sf: str) -> DataFrame:
     rows = flow_changes(spark, sf).filter(c("kind") == "lifecycle")
     return rows.select(
         "correlation_id",
-        F.lit("flow.lifecycle").alias("message_name"),
-        F.lit("task-orchestrator").alias("source"),
+        F.lit(S.LIFECYCLE).alias("message_name"),
+        F.lit(S.SOURCE_ENGINE).alias("source"),
         "dag_key",
         "status",
         c("message").alias("error_message"),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-# Message names, sources and enum texts as they appear on the wire.
+# Message names and enum texts as they appear on the wire.
 INITIATED = "processFlow.initiated"
 EXECUTE = "task.execute"
 TASK_EVENT = "task.event"
@@ -10,10 +10,13 @@ SIGNAL = "task.signal"
 LIFECYCLE = "flow.lifecycle"
 MESSAGE_NAMES = (INITIATED, EXECUTE, TASK_EVENT, SIGNAL, LIFECYCLE)
 
-SOURCE_INTAKE = "pamconsumer"
-SOURCE_ENGINE = "task-orchestrator"
-SOURCE_RUNNER = "task-runner"
+# Defaults: how a deployment names its own components in ``source``; routing and conformance take others.
+SOURCE_INTAKE = "intake"
+SOURCE_ENGINE = "engine"
+SOURCE_RUNNER = "runner"
 
+# More enum texts, and the type name of an asynchronous reply.
+ASYNC_REPLY = "TaskFinalAsyncResponseSend"
 MESSAGE_TYPES = ("EVENT", "COMMAND", "SIGNAL")
 INTENTS = ("EXECUTE", "CANCEL", "RETRY")
 STATUSES = ("INITIAL", "IN_PROGRESS", "WAITING", "COMPLETED", "FAILED", "CANCELLED")

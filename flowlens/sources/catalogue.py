@@ -7,10 +7,13 @@ from collections.abc import Iterable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from flowlens import schemas as S
 from flowlens.functions.text import dcx_key, is_blank
+from flowlens.operators.skew import BROADCAST_BYTES, BROADCAST_ROWS
+from flowlens.operators.storage import cut
 
 
 @dataclass(frozen=True)
@@ -26,13 +29,6 @@ class Catalogue:
     widest: int
 
 
-_BATCH_ROWS = "dag_key string, batch_index int, task_total int"
-_ACTION_ROWS = (
-    "dag_key string, batch_index int, task_total int, action_pos int, action_name string, execution_mode string,"
-    "flow_type string, modem_type string, depends_on array<string>"
-)
-
-
 def _inline(spark: SparkSession, rows: list[dict], schema: str) -> DataFrame:
     """A few configuration rows as a literal in the plan: no job, no Python worker, known tiny size."""
     fields = ", ".join(f"{n.strip().split(' ', 1)[0]}:{n.strip().split(' ', 1)[1]}" for n in schema.split(","))
@@ -76,41 +72,38 @@ def flatten_documents(documents: DataFrame) -> DataFrame:
     )
 
 
-def build_catalogue(documents: DataFrame, max_batches: int = 100_000) -> Catalogue:
-    """Catalogue out of its documents. It is configuration: read once, held in the plan, its size checked here.
+def build_catalogue(documents: DataFrame) -> Catalogue:
+    """Catalogue out of its documents, of any size: stored once, measured, and hinted for broadcast only within the bound.
 
-    Null actions are dropped from ``actions`` but still count in ``task_total``.
+    Null actions are dropped from ``actions`` but still count in ``task_total``. Only one row of measures is collected.
     """
-    found = flatten_documents(documents).limit(max_batches + 1).collect()
-    if len(found) > max_batches:
-        raise ValueError(f"more than {max_batches} batches: this is no DAG catalogue")
-    batches, actions = [], []
-    for dag, index, declared in found:
-        head = {"dag_key": dag, "batch_index": index, "task_total": len(declared) if declared else None}
-        batches.append(head)
-        actions += [
-            {
-                **head,
-                "action_pos": pos,
-                "action_name": a.actionName,
-                "execution_mode": a.executionMode,
-                "flow_type": a.flowType,
-                "modem_type": a.modemType,
-                "depends_on": a.dependsOn,
-            }
-            for pos, a in enumerate(declared or [])
-            if a is not None
-        ]
-    spark = documents.sparkSession
-    indexes = {}
-    for b in batches:
-        indexes.setdefault(b["dag_key"], set()).add(b["batch_index"])
-    return Catalogue(
-        F.broadcast(_inline(spark, batches, _BATCH_ROWS)),
-        F.broadcast(_inline(spark, actions, _ACTION_ROWS)),
-        max((next(i for i in range(len(s) + 1) if i not in s) for s in indexes.values()), default=0),
-        max((b["task_total"] or 0 for b in batches), default=0),
+    total = F.when(F.size("actions") > 0, F.size("actions")).alias("task_total")
+    stored = cut(flatten_documents(documents).select("dag_key", "batch_index", total, "actions"))
+    # Indexes are distinct per DAG, so an index equals its rank exactly until the first gap.
+    rank = F.row_number().over(W.partitionBy("dag_key").orderBy("batch_index")) - 1
+    run = stored.filter(F.col("batch_index") >= 0).withColumn("_run", F.col("batch_index") == rank)
+    depth, = run.agg(F.coalesce(F.max(F.when(F.col("_run"), F.col("batch_index") + 1)), F.lit(0))).first()
+    widest, rows, size = stored.agg(
+        F.coalesce(F.max("task_total"), F.lit(0)),
+        F.coalesce(F.sum(F.lit(1) + F.coalesce("task_total", F.lit(0))), F.lit(0)),
+        F.coalesce(F.sum(F.length(F.to_json(F.struct("*")))), F.lit(0)),
+    ).first()
+    batches = stored.select("dag_key", "batch_index", "task_total")
+    actions = (
+        stored.select("dag_key", "batch_index", "task_total", F.posexplode("actions").alias("action_pos", "_a"))
+        .filter(F.col("_a").isNotNull())
+        .select(
+            "dag_key", "batch_index", "task_total", "action_pos",
+            F.col("_a.actionName").alias("action_name"),
+            F.col("_a.executionMode").alias("execution_mode"),
+            F.col("_a.flowType").alias("flow_type"),
+            F.col("_a.modemType").alias("modem_type"),
+            F.col("_a.dependsOn").alias("depends_on"),
+        )
     )
+    if rows <= BROADCAST_ROWS and size <= BROADCAST_BYTES:
+        batches, actions = F.broadcast(batches), F.broadcast(actions)
+    return Catalogue(batches, actions, depth, widest)
 
 
 def valid_action_codes(rows: DataFrame) -> DataFrame:
@@ -138,10 +131,9 @@ def valid_dcx_codes(rows: DataFrame) -> DataFrame:
 
 
 def select_snapshot(old: DataFrame, new_valid: DataFrame) -> DataFrame:
-    """The new snapshot if it has any valid row, else the old one, decided inside the plan by a one-row flag."""
-    any_new = new_valid.limit(1).select(F.lit(1).alias("_flag"))
-    kept_old = old.withColumn("_flag", F.lit(1)).join(F.broadcast(any_new), "_flag", "left_anti").drop("_flag")
-    return new_valid.unionByName(kept_old)
+    """The new snapshot if it has any valid row, else the old one. The new load is evaluated once, into a stored table."""
+    stored = cut(new_valid)
+    return old if stored.isEmpty() else stored
 
 
 def registry_audit(name: str, rows: DataFrame, valid_key: Column, key: Column) -> DataFrame:

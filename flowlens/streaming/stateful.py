@@ -252,10 +252,10 @@ _WAITING = "seq long, at timestamp, correlation_id string, task_flow_id string"
 
 
 class ReplyMatcher(StatefulProcessor):
-    """Remembers the newest registration of a transaction id and answers replies within the horizon."""
+    """Remembers the newest registration of a transaction id and answers replies, within the horizon if there is one."""
 
-    def __init__(self, horizon_days: int, ttl_ms: int | None):
-        self.horizon = pd.Timedelta(days=horizon_days)
+    def __init__(self, horizon_days: int | None, ttl_ms: int | None):
+        self.horizon = None if horizon_days is None else pd.Timedelta(days=horizon_days)
         self.ttl_ms = ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
@@ -270,7 +270,9 @@ class ReplyMatcher(StatefulProcessor):
             if r["is_waiting"]:
                 held = (int(r["arrival_seq"]), at.to_pydatetime(), r["correlation_id"], r["task_flow_id"])
                 fresh = True
-            elif held is not None and at <= pd.Timestamp(held[1]).tz_localize(None) + self.horizon:
+            elif held is not None and (
+                self.horizon is None or at <= pd.Timestamp(held[1]).tz_localize(None) + self.horizon
+            ):
                 out.append((key[0], int(r["arrival_seq"]), held[0], held[2], held[3]))
         if fresh:
             self.waiting.update(held)
@@ -281,7 +283,7 @@ class ReplyMatcher(StatefulProcessor):
         pass
 
 
-def stream_replies(waiting: DataFrame, replies: DataFrame, horizon_days: int = 7, expire: bool = True) -> DataFrame:
+def stream_replies(waiting: DataFrame, replies: DataFrame, horizon_days: int | None = None, expire: bool = False) -> DataFrame:
     """Replies matched to waiting tasks over two streams of the same log."""
     none = F.lit(None).cast("string")
     at = c("at").cast("timestamp").alias("at")

@@ -10,13 +10,13 @@ from flowlens.sources.envelopes import decode_envelopes, ledger
 
 
 def start(flow, dag, **extra):
-    body = {"messageName": "processFlow.initiated", "messageType": "EVENT", "source": "pamconsumer", "dagKey": dag,
+    body = {"messageName": "processFlow.initiated", "messageType": "EVENT", "source": "intake", "dagKey": dag,
             "correlationId": flow, "inputs": {"processFlow": {"id": flow}}}
     return body | extra
 
 
 def event(flow, status, batch=0, task=None, action="a", retryable=None, body=None, code="COMPLETED", reason=None, **extra):
-    out = {"messageName": "task.event", "messageType": "EVENT", "source": "task-runner", "correlationId": flow}
+    out = {"messageName": "task.event", "messageType": "EVENT", "source": "runner", "correlationId": flow}
     if status is not None:
         out["status"] = status
     if batch is not None:

@@ -72,7 +72,7 @@ def test_writing_envelopes_appends_records(spark, tmp_path):
 def test_routes(spark):
     msgs = [{"messageName": n, "source": s} for n, s in [
         ("processFlow.initiated", "x"), ("task.event", "x"), ("task.signal", "x"), ("task.execute", "x"), ("flow.lifecycle", "x"),
-        ("task.execute", "task-orchestrator"), ("TASK.EVENT", "x"), (None, "x")]]
+        ("task.execute", "engine"), ("TASK.EVENT", "x"), (None, "x")]]
     rows = routing.routed(envelopes(spark, msgs)).orderBy("arrival_seq").collect()
     assert [r.route for r in rows] == ["start_flow", "apply_event", "log_signal", "log_command", "log_lifecycle"]
 
@@ -93,7 +93,7 @@ def test_references_need_id_and_href(spark):
 
 
 def test_conformance_names_each_broken_rule(spark):
-    m = {**event("f", "COMPLETED", 0, "t"), "dagKey": "d", "source": "pamconsumer", "eventTime": "2026-01-01T00:00:00Z"}
+    m = {**event("f", "COMPLETED", 0, "t"), "dagKey": "d", "source": "intake", "eventTime": "2026-01-01T00:00:00Z"}
     row = routing.violations(envelopes(spark, [m])).first()
     assert set(row.violations) == {"wrong source", "forbidden dag_key", "missing task", "missing execution"}
 
@@ -104,7 +104,7 @@ def test_notifications_become_envelopes(spark):
         {"@type": "processFlow", "id": "f"},
         {"@type": "taskFinalAsyncResponseSend", "correlationId": "f", "event": {"id": "tx", "href": "/h"}, "eventId": "e"},
         {"@type": "TaskFinalAsyncResponseSend", "correlationId": "f", "event": {}},
-        {"@type": "TaskFinalAsyncResponseSend", "event": {"id": "ty"}, "reportingSystem": {"id": "ACUT"}},
+        {"@type": "TaskFinalAsyncResponseSend", "event": {"id": "ty"}, "reportingSystem": {"id": "desk"}},
         {"@type": "else"},
     ]
     frame = E.decode_notifications(log_frame(spark, notes)).good
@@ -112,7 +112,7 @@ def test_notifications_become_envelopes(spark):
     assert [(r.correlation_id, r.dag_key, r.message_name, r.inputs.processFlow.state) for r in first] == [
         ("f", "d", "processFlow.initiated", "active")]
     signals = N.signals_from(frame).orderBy("arrival_seq").collect()
-    assert [(r.inputs.downstream.id, r.inputs.reportingSystem) for r in signals] == [("tx", "UNKNOWN"), ("ty", "ACUT")]
+    assert [(r.inputs.downstream.id, r.inputs.reportingSystem) for r in signals] == [("tx", "UNKNOWN"), ("ty", "desk")]
     assert len({r.event_id for r in signals}) == 2
 
 

@@ -25,7 +25,7 @@ def test_walkthrough(spark):
         json.loads(json.dumps(start(first.correlation_id, first.dag_key))),
         event("F", "COMPLETED", 0, "t-net", action="net", body="Passed"),
         event("F", "WAITING", 0, "t-voice", action="voice", code=None),
-        {"messageName": "task.signal", "messageType": "SIGNAL", "source": "pamconsumer", "correlationId": "F"},
+        {"messageName": "task.signal", "messageType": "SIGNAL", "source": "intake", "correlationId": "F"},
         event("F", "COMPLETED", 0, "t-voice", action="voice"),
         event("F", "COMPLETED", 1, "t-note", action="notify"),
     ]
