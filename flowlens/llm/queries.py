@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from flowlens.llm import (
-    decontamination, embeddings, packing, pii, quality, rollups, secrets, simhash, suffixes, toxicity,
+    decontamination, embeddings, packing, pii, prefixes, quality, rollups, secrets, simhash, spelling, suffixes, toxicity, urls,
 )
 from flowlens.llm.common import table
 
@@ -52,12 +52,29 @@ def op10_pii_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.op10(table(spark, sf_dir, "documents"))
 
 
+def op11_url_regression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.op11(table(spark, sf_dir, "pages"))
+
+
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefixes.op12(table(spark, sf_dir, "conversations"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.op13(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_collision_counting, op2_quality_factorisation, op3_template_decontamination, op4_secret_ledger,
         op5_packing_column_generation, op6_token_rollups, op7_sparse_suffixes, op8_toxicity_instances,
         op9_simhash_near_dedup, op10_pii_disclosure,
+        op11_url_regression, op12_conversation_trie, op13_spelling_variants,
     )
 }
 
-ORACLE: dict[str, str] = {"op3_template_decontamination": decontamination.ORACLE_SQL}
+ORACLE: dict[str, str] = {
+    "op3_template_decontamination": decontamination.ORACLE_SQL,
+    "op12_conversation_trie": prefixes.ORACLE_SQL,
+    "op13_spelling_variants": spelling.ORACLE_SQL,
+}
