@@ -26,13 +26,18 @@ def sieve(hashes: DataFrame, slots: int = 1 << 17) -> Callable[[str], str]:
     )
 
 
-def split_join(rows: DataFrame, h: str, other: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``rows`` whose hash (SQL ``h``) is surely not in ``other.h``, and the few that have to join ``other`` to know."""
-    passes = sieve(other.select("h"))(h)
+def split_join(rows: DataFrame, h: str, other: DataFrame, slots: int = 1 << 17) -> tuple[DataFrame, DataFrame]:
+    """``rows`` whose hash (SQL ``h``, never null) is surely not in ``other.h``, and the few that have to join it to know."""
+    passes = sieve(other.select("h"), slots)(h)
     return rows.where(f"NOT ({passes})"), rows.where(passes)
 
 
 def without(rows: DataFrame, h: str, bad: DataFrame) -> DataFrame:
-    """``rows`` whose hash (SQL ``h``) is not in ``bad.h``; only those that the sieve can't clear are shuffled."""
+    """``rows`` whose hash (SQL ``h``) is not in ``bad.h``; only those that the sieve can't clear are shuffled.
+
+    The caller's row travels as one struct, so its column names meet no others.
+    """
     clear, doubtful = split_join(rows, h, bad)
-    return clear.unionByName(doubtful.join(bad.select(F.col("h").alias("_bad")), F.expr(f"{h} = _bad"), "left_anti"))
+    packed = doubtful.select(F.struct("*").alias("row"), F.expr(h).alias("its_h"))
+    kept = packed.join(bad.select(F.col("h").alias("bad_h")), F.col("its_h") == F.col("bad_h"), "left_anti")
+    return clear.unionByName(kept.select("row.*"))

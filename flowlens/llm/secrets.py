@@ -96,20 +96,16 @@ def redacted(docs: DataFrame, mark: str = "<SECRET>") -> DataFrame:
     """
     ledger = Ledger(fresh_dir(docs.sparkSession, "blob-ledger"))
     ledger.commit(docs)
-    have = ledger.read(docs).where(F.size("findings") > 0).select(
-        F.col("blob").alias("_blob"), F.col("findings").alias("_findings"), F.xxhash64("blob").alias("h")
-    )
+    have = ledger.read(docs).where(F.size("findings") > 0).select("blob", "findings", F.xxhash64("blob").alias("h"))
     address = "sha2(coalesce(text, ''), 256)"
     clear, doubtful = split_join(docs, f"xxhash64({address})", have)
-    met = doubtful.join(have.drop("h"), F.expr(f"{address} = _blob"), "left")
-    new = F.when(F.col("_findings").isNull(), F.col("text")).otherwise(replaced("text", "_findings", f"'{mark}'"))
-    met = met.withColumn("_new", new)
-    fields = {"text": F.col("_new").alias("text")}
+    packed = doubtful.select(F.struct("*").alias("row"), F.expr(address).alias("address"))
+    met = packed.join(have, F.col("address") == F.col("blob"), "left").withColumn(
+        "new", F.when(F.col("findings").isNotNull(), replaced("row.text", "findings", f"'{mark}'")))
+    row = met.where("findings IS NOT NULL").withColumn("row", F.col("row").withField("text", F.col("new")))
     if "n_chars" in docs.columns:
-        kind = docs.schema["n_chars"].dataType
-        fields["n_chars"] = F.when(F.col("_findings").isNull(), F.col("n_chars")).otherwise(
-            F.length("_new").cast(kind)).alias("n_chars")
-    return clear.unionByName(met.select(*[fields.get(c, F.col(f"`{c}`")) for c in docs.columns]))
+        row = row.withColumn("row", F.col("row").withField("n_chars", F.length("new").cast(docs.schema["n_chars"].dataType)))
+    return clear.unionByName(met.where("findings IS NULL").select("row.*")).unionByName(row.select("row.*"))
 
 
 def count_of(kind: str) -> Column:

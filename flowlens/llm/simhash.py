@@ -17,12 +17,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from flowlens.llm.bits import split_join
 from flowlens.llm.common import arrow_map, texts
 from flowlens.llm.graph import components
 from flowlens.operators.storage import cut
 
 SEED = 42
 BITS = 64
+MEMBER_SLOTS = 1 << 20
 
 
 def fingerprint(text: bytes, width: int) -> int:
@@ -116,13 +118,28 @@ def near_duplicates(docs: DataFrame, width: int = 4, distance: int = 4) -> DataF
 
 
 def one_each(docs: DataFrame, width: int = 4, distance: int = 4) -> DataFrame:
-    """One row of ``docs`` per group of near duplicates, all columns as they are: the smallest doc_id, then the smallest hash."""
-    rank = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("_id"), F.col("sign").alias("_sign"))
-    kept = near_duplicates(docs, width, distance).groupBy("comp").agg(F.min(rank).alias("k")).select("k._id", "k._sign")
-    sign = F.xxhash64(F.coalesce("text", F.lit("")))
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_sign"))
-    rows = docs.withColumn("_text", sign).join(cut(kept).hint("shuffle_hash"), same)
-    return rows.dropDuplicates(["_id", "_sign"]).select(*[f"`{c}`" for c in docs.columns])
+    """One row of ``docs`` per group of near duplicates, all columns as they are: the smallest doc_id, then the smallest hash.
+
+    Null and empty texts are near each other; a null doc_id comes after all others; of equal rows one stays. Narrow rows decide.
+    A document of a group of its own passes where it is read; only those that the sieve can't tell from members of real groups
+    meet the decisions, with the caller's row as one struct, so that its column names are free.
+    """
+    narrow = cut(near_duplicates(docs, width, distance).select("doc_id", "sign", "comp"))
+    pairs = narrow.groupBy("comp", "doc_id", "sign").agg(F.count(F.lit(1)).alias("n"))
+    rank = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "sign")
+    best = narrow.groupBy("comp").agg(F.count(F.lit(1)).alias("members"), F.min(rank).alias("best")).where("members > 1")
+    decided = cut(pairs.join(best, "comp").select(
+        "doc_id", "sign", (F.col("n") > 1).alias("repeated"),
+        (~(F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("sign") == F.col("best.sign")))).alias("dropped"),
+        F.xxhash64(F.coalesce("doc_id", F.lit(-1)), "sign").alias("h"),
+    ))
+    sign = "xxhash64(coalesce(text, ''))"
+    clear, doubtful = split_join(docs, f"xxhash64(coalesce(CAST(doc_id AS BIGINT), -1), {sign})", decided, MEMBER_SLOTS)
+    packed = doubtful.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("its_id"), F.expr(sign).alias("its_sign"))
+    met = packed.join(decided, F.col("its_id").eqNullSafe(F.col("doc_id")) & (F.col("its_sign") == F.col("sign")), "left")
+    kept = met.where("dropped IS NULL OR NOT dropped")
+    once = kept.where("repeated").dropDuplicates(["its_id", "its_sign"])
+    return clear.unionByName(kept.where("repeated IS NULL OR NOT repeated").select("row.*")).unionByName(once.select("row.*"))
 
 
 def op9(docs: DataFrame) -> DataFrame:

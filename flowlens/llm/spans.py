@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SPAN = "struct<start:int,end:int,value:string>"
+CHUNK = 256
 
 
 @dataclass(frozen=True)
@@ -47,20 +48,22 @@ def locate(df: DataFrame, rules: list[Rule], text: str = "text") -> DataFrame:
     return df.withColumns({r.kind: _spans(r) for r in rules}).drop(*hits, *parts)
 
 
+def running(values: str, step: str) -> str:
+    """SQL of the running fold of an array by the associative SQL ``step`` of x and y: distances double, so n log n work."""
+    return f"""
+      aggregate(sequence(0, 30), {values}, (p, k) -> CASE WHEN size(p) <= shiftleft(1, k) THEN p ELSE
+        transform(p, (x, i) -> CASE WHEN i < shiftleft(1, k) THEN x
+          ELSE get(transform(array(get(p, i - shiftleft(1, k))), y -> {step}), 0) END) END)"""
+
+
 def _spans(rule: Rule) -> Column:
+    # the arrays are zipped, not looked up: what stands inside a lambda may be computed again for each element
     k = rule.kind
-    walk = f"""
-      aggregate(
-        sequence(0, size(_m_{k}) - 1),
-        CAST(named_struct('at', 0, 'out', array()) AS struct<at:int,out:array<{SPAN}>>),
-        (acc, i) -> named_struct(
-          'at', acc.at + length(get(_m_gap_{k}, i)) + length(get(_m_{k}, i)),
-          'out', concat(acc.out, array(named_struct(
-            'start', acc.at + length(get(_m_gap_{k}, i)),
-            'end', acc.at + length(get(_m_gap_{k}, i)) + length(get(_m_{k}, i)),
-            'value', get(_m_val_{k}, i))))),
-        acc -> acc.out)"""
-    kept = f"filter({walk}, s -> {rule.keep})" if rule.keep != "true" else walk
+    ends = running(f"zip_with(_m_gap_{k}, _m_{k}, (gap, m) -> length(gap) + length(m))", "x + y")
+    spans = f"""
+      zip_with(zip_with({ends}, _m_{k}, (e, m) -> named_struct('start', e - length(m), 'end', e)), _m_val_{k},
+        (s, v) -> named_struct('start', s.start, 'end', s.end, 'value', v))"""
+    kept = f"filter({spans}, s -> s.end IS NOT NULL AND {rule.keep})"
     return F.expr(f"CASE WHEN size(_m_{k}) > 0 THEN {kept} ELSE CAST(array() AS array<{SPAN}>) END")
 
 
@@ -87,8 +90,20 @@ def digest_text(spans: str) -> Column:
 
 
 def replaced(text: str, spans: str, label: str) -> Column:
-    """``text`` with each of the ``spans``, in order of start, replaced by the SQL ``label`` of s; of two that overlap the first."""
+    """``text`` with each of the ``spans``, in order of start, replaced by the SQL ``label`` of s.
+
+    Spans that overlap are replaced together, under the label of the first, so nothing of them is left. Pieces are taken from
+    chunks of the text, so the work is in proportion to its length and the number of spans.
+    """
+    def piece(low: str, high: str) -> str:
+        chunks = f"slice(t.chunks, {low} div {CHUNK} + 1, {high} div {CHUNK} - {low} div {CHUNK} + 1)"
+        return f"substring(array_join({chunks}, ''), {low} % {CHUNK} + 1, {high} - {low})"
+
+    reach = running(f"transform({spans}, s -> s.end)", "greatest(x, y)")
+    kept = "filter(transform(t.spans, (s, i) -> named_struct('s', s, 'at', IF(i = 0, 0, get(t.reach, i - 1)))), b -> b.s.start >= b.at)"
+    parts = f"transform({kept}, b -> concat({piece('b.at', 'b.s.start')}, get(transform(array(b.s), s -> {label}), 0)))"
+    tail = piece("get(t.reach, size(t.reach) - 1)", f"length({text})")
     return F.expr(f"""
-      aggregate({spans}, named_struct('at', 0, 'out', ''), (acc, s) -> CASE WHEN s.start < acc.at THEN acc ELSE named_struct(
-        'at', s.end, 'out', concat(acc.out, substring({text}, acc.at + 1, s.start - acc.at), {label})) END,
-        acc -> concat(acc.out, substring({text}, acc.at + 1)))""")
+      CASE WHEN size({spans}) > 0 THEN get(transform(array(named_struct(
+        'chunks', regexp_extract_all({text}, '(?s).{{1,{CHUNK}}}', 0), 'spans', {spans}, 'reach', {reach})),
+        t -> concat(array_join({parts}, ''), {tail})), 0) ELSE {text} END""")

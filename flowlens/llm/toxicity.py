@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowlens.llm.common import LETTERS, Words, arrow_map, texts
+from flowlens.llm.common import LETTERS, SLICE_BYTES, Words, arrow_map, slices, texts
 from flowlens.llm.learn import fold, teaching_sample
 
 BITS = 20
@@ -184,13 +184,21 @@ def score(docs: DataFrame, model: Model, offending: float = 0.5) -> DataFrame:
 
 
 def accepted(docs: DataFrame, model: Model, limit: float = 0.5) -> DataFrame:
-    """The rows of ``docs``, all columns as they are, whose whole text scores below ``limit``."""
+    """The rows of ``docs``, all columns as they are, whose whole text scores below ``limit``.
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        b = bags(Words(batch.column(batch.schema.get_field_index("text")), LETTERS))
-        return batch.filter(pa.array(noisy_or(model.sentence_logits(b), b.doc, batch.num_rows) < limit))
+    A text that is null, empty or without a word scores 0 and stays; repeated rows stay repeated. Only the text goes to Python and
+    only its score comes back; the rows are filtered where they are read.
+    """
+
+    @F.arrow_udf("double")
+    def whole(text: pa.Array) -> pa.Array:
+        scores = [np.empty(0)]
+        for part in slices(pa.RecordBatch.from_arrays([text], names=["text"]), SLICE_BYTES):
+            b = bags(Words(part.column("text"), LETTERS))
+            scores.append(noisy_or(model.sentence_logits(b), b.doc, part.num_rows))
+        return pa.array(np.concatenate(scores), pa.float64())
 
-    return arrow_map(docs, docs.schema, run)
+    return docs.where(whole(F.col("text")) < limit)
 
 
 def op8(docs: DataFrame, labels: DataFrame) -> DataFrame:
