@@ -3,7 +3,11 @@
 Numbers, capitalised words and units after a number become typed placeholders, so a question with other names and quantities
 has the same template. Windows of five template tokens of the benchmark are looked up in the windows of all documents; a
 document holds an item if 0.8 or more of the item's windows occur in it, and if the slots agree: along each alignment that counts,
-one value of the item always stands for one value of the document. Built-in functions only.
+the values of the item and those of the document, at every position of its windows, stand for one another one to one.
+
+A template window needs two words of its own, or it would fit everywhere. An item without such a window, be it short or all
+numbers and names, is looked up by its plain tokens instead: windows of five, or the whole item where it is shorter.
+Built-in functions only.
 """
 
 from __future__ import annotations
@@ -34,67 +38,67 @@ TEMPLATE = f"""
     ELSE w END"""
 
 
-def windows(rows: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """(key, tokens, hashes): the tokens of every text, and a hash for each window of five template tokens, by position."""
+def windows(rows: DataFrame, key: str, widths: list[int], text: str = "text") -> DataFrame:
+    """(key, tokens, codes, wins): the tokens of every text, and its windows (at, size, h): five template tokens (size 0), and
+    plain tokens of each of the ``widths``."""
     tokens = F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(TOKEN), F.lit(0))
-    five = ", ".join(f"get(codes, i + {k})" for k in range(WINDOW))
+
+    def kind(source: str, width: int, size: int) -> str:
+        each = ", ".join(f"get({source}, i + {k})" for k in range(width))
+        made = f"named_struct('at', i, 'size', {size}, 'h', xxhash64({size}, {each}))"
+        none = "CAST(array() AS array<struct<at:int,size:int,h:bigint>>)"
+        return f"CASE WHEN size(tokens) >= {width} THEN transform(sequence(0, size(tokens) - {width}), i -> {made}) ELSE {none} END"
+
+    kinds = [kind("codes", WINDOW, 0), *(kind("tokens", w, w) for w in widths)]
     return (
         rows.select(F.col(key).cast("long").alias(key), tokens.alias("tokens"))
-        .withColumn("codes", F.expr(f"transform(tokens, (w, i) -> xxhash64({TEMPLATE}))"))
-        .select(key, "tokens", F.expr(
-            f"CASE WHEN size(codes) >= {WINDOW} THEN transform(sequence(0, size(codes) - {WINDOW}), i -> xxhash64({five})) "
-            "ELSE CAST(array() AS array<bigint>) END"
-        ).alias("hashes"))
+        .withColumn("codes", F.expr(f"transform(tokens, (w, i) -> {TEMPLATE})"))
+        .withColumn("wins", F.expr(f"concat({', '.join(kinds)})"))
     )
 
 
-def _placed(rows: DataFrame, key: str, at: str, h: str, first: str, last: str, keep: str) -> DataFrame:
-    """One row per window that passes ``keep``: its position, hash, first and last token."""
-    return rows.select(key, F.explode(F.expr(
-        f"filter(transform(hashes, (h, i) -> named_struct('{at}', i, '{h}', h, '{first}', get(tokens, i), "
-        f"'{last}', get(tokens, i + {WINDOW - 1}))), s -> {keep})"
-    )).alias("s")).select(key, "s.*")
+def _words(of: str) -> str:
+    return f"slice(tokens, {of}.at + 1, CASE WHEN {of}.size = 0 THEN {WINDOW} ELSE {of}.size END)"
 
 
 def item_windows(benchmark: DataFrame) -> DataFrame:
-    """(item_id, ipos, h, its_first, its_last, n): windows with at least two words of their own; n is how many the item has."""
-    rows = windows(benchmark, "item_id")
-    literal = F.expr(f"transform(tokens, (w, i) -> CASE WHEN {TEMPLATE} = w THEN 1 ELSE 0 END)")
-    rows = rows.withColumn("own", literal).withColumn("good", F.expr(
-        f"transform(hashes, (h, i) -> aggregate(slice(own, i + 1, {WINDOW}), 0, (a, x) -> a + x) >= {LEAST_WORDS})"
-    ))
-    placed = _placed(rows, "item_id", "ipos", "h", "its_first", "its_last", "get(good, s.ipos)")
-    count = rows.select("item_id", F.size(F.filter("good", lambda g: g)).alias("n"))
-    return placed.distinct().join(count.groupBy("item_id").agg(F.max("n").alias("n")), "item_id")
+    """(item_id, ipos, h, its, n): the windows to look up, with their tokens; n is how many the item has."""
+    rows = windows(benchmark, "item_id", list(range(1, WINDOW + 1)))
+    rows = rows.withColumn("own", F.expr("transform(zip_with(tokens, codes, (w, c) -> w = c), x -> CAST(x AS INT))"))
+    good = f"filter(wins, x -> x.size = 0 AND aggregate(slice(own, x.at + 1, {WINDOW}), 0, (a, v) -> a + v) >= {LEAST_WORDS})"
+    rows = rows.withColumn("good", F.expr(good)).withColumn("used", F.expr(
+        f"CASE WHEN size(good) > 0 THEN good ELSE filter(wins, x -> x.size = least(size(tokens), {WINDOW})) END"))
+    placed = rows.select("item_id", "tokens", F.explode("used").alias("x")).select(
+        "item_id", F.col("x.at").alias("ipos"), "x.size", "x.h", F.expr(_words("x")).alias("its"))
+    count = rows.groupBy("item_id").agg(F.max(F.size("used")).alias("n"))
+    return placed.distinct().join(count, "item_id")
 
 
 def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """(doc_id, item_id, shift, ipos, n, its_first, first, its_last, last): all template windows a document shares."""
-    items = item_windows(benchmark)
+    """(doc_id, item_id, shift, ipos, n, its, words): all windows that a document shares with an item, and both sides' tokens."""
+    items = cut(item_windows(benchmark))
+    widths = sorted(r[0] for r in items.select("size").where("size > 0").distinct().collect())  # five numbers at most
     passes = sieve(items.select("h"), SLOTS)
-    mine = _placed(windows(docs, "doc_id"), "doc_id", "dpos", "h", "first", "last", passes("s.h"))
-    return mine.join(items, "h").withColumn("shift", F.col("dpos") - F.col("ipos"))
+    found = windows(docs, "doc_id", widths).select("doc_id", "tokens", F.explode(F.expr(f"filter(wins, x -> {passes('x.h')})")).alias("x"))
+    mine = found.select("doc_id", F.col("x.at").alias("dpos"), "x.h", F.expr(_words("x")).alias("words"))
+    return mine.join(items.drop("size"), "h").withColumn("shift", F.col("dpos") - F.col("ipos"))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = SHARE) -> DataFrame:
     """(doc_id, item_id, share, verbatim): the benchmark items that each document holds.
 
-    ``share`` is the part of the item's windows found along consistent alignments; ``verbatim`` tells whether all slots have
-    the item's own values. Null and empty texts, and items without a window of two literal words, match nothing. Repeated
-    rows give one row, as do repeated items. Rows with a null id are left out. Other columns are not read. Empty tables give
-    no rows.
+    ``share`` is the part of the item's windows found along consistent alignments; ``verbatim`` tells whether all tokens of them
+    are the item's own. Null and empty texts match nothing, nor do items without a token. Repeated rows give one row, as do
+    repeated items. Rows with a null id are left out. Other columns are not read. Empty tables give no rows.
     """
     found = cut(matches(docs.where("doc_id IS NOT NULL"), benchmark.where("item_id IS NOT NULL")))
-    pair = F.explode(F.array(F.struct(F.col("its_first").alias("a"), F.col("first").alias("b")),
-                             F.struct(F.col("its_last").alias("a"), F.col("last").alias("b"))))
     keys = ["doc_id", "item_id", "shift"]
-    slots = found.select(*keys, pair.alias("s")).groupBy(*keys, "s.a").agg(
-        F.min("s.b").alias("low"), F.max("s.b").alias("high")
+    pairs = found.select(*keys, F.explode(F.expr("zip_with(its, words, (a, b) -> named_struct('a', a, 'b', b))")).alias("s"))
+    sides = pairs.groupBy(*keys).agg(  # as many values as the item has tokens, at most
+        F.size(F.collect_set("s")).alias("pairs"), F.size(F.collect_set("s.a")).alias("ours"),
+        F.size(F.collect_set("s.b")).alias("theirs"), F.bool_and(F.col("s.a") == F.col("s.b")).alias("same"),
     )
-    agreed = slots.groupBy(*keys).agg(
-        F.bool_and(F.col("low") == F.col("high")).alias("agrees"),
-        F.bool_and((F.col("low") == F.col("a")) & (F.col("high") == F.col("a"))).alias("same"),
-    ).where("agrees")
+    agreed = sides.where("pairs = ours AND pairs = theirs").select(*keys, "same")
     held = found.select(*keys, "ipos", "n").join(agreed, keys)
     once = held.groupBy("doc_id", "item_id", "ipos").agg(F.max("n").alias("n"), F.bool_or("same").alias("same"))
     total = once.groupBy("doc_id", "item_id").agg(
@@ -107,34 +111,45 @@ def op3(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return contaminated(docs, benchmark).select("doc_id", "item_id", F.round("share", 6).alias("share"), "verbatim")
 
 
-#: The same rows from plain token windows, in DuckDB's SQL.
+#: The same rule in DuckDB's SQL: token lists, windows compared as lists, and every aligned position compared as a row.
 ORACLE_SQL = f"""
 WITH texts AS (
-  SELECT 0 AS side, doc_id AS id, regexp_extract_all(coalesce(text, ''), '{TOKEN}') AS tokens FROM documents
-  UNION ALL SELECT 1, item_id, regexp_extract_all(coalesce(text, ''), '{TOKEN}') FROM benchmark),
+  SELECT DISTINCT 0 AS side, doc_id AS id, regexp_extract_all(coalesce(text, ''), '{TOKEN}') AS tokens
+  FROM documents WHERE doc_id IS NOT NULL
+  UNION SELECT 1, item_id, regexp_extract_all(coalesce(text, ''), '{TOKEN}') FROM benchmark WHERE item_id IS NOT NULL),
 words AS (
-  SELECT side, id, unnest(tokens) AS w, generate_subscripts(tokens, 1) AS i FROM texts),
-coded AS (
+  SELECT side, id, tokens, unnest(tokens) AS w, generate_subscripts(tokens, 1) AS i FROM texts),
+coded AS MATERIALIZED (
   SELECT *, CASE WHEN w[1] BETWEEN '0' AND '9' THEN '<num>'
-    WHEN lower(w) IN ({_UNITS}) AND lag(w) OVER o BETWEEN '0' AND ':' THEN '<unit>'
+    WHEN i > 1 AND lower(w) IN ({_UNITS}) AND tokens[i - 1][1] BETWEEN '0' AND '9' THEN '<unit>'
     WHEN w[1] <> lower(w[1]) THEN '<name>' ELSE w END AS t
-  FROM words WINDOW o AS (PARTITION BY side, id ORDER BY i)),
-wins AS (
-  SELECT side, id, i, w, lead(w, 4) OVER o AS w5, list(t) OVER f AS win,
-    sum(CASE WHEN t = w THEN 1 ELSE 0 END) OVER f AS own
-  FROM coded WINDOW o AS (PARTITION BY side, id ORDER BY i),
-    f AS (PARTITION BY side, id ORDER BY i ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING)),
-items AS (
-  SELECT *, count(*) OVER (PARTITION BY id) AS n FROM wins WHERE side = 1 AND len(win) = 5 AND own >= {LEAST_WORDS}),
-hits AS (
-  SELECT d.id AS doc_id, m.id AS item_id, d.i - m.i AS shift, m.i AS ipos, m.n, m.w AS a1, d.w AS b1, m.w5 AS a2, d.w5 AS b2
-  FROM wins d JOIN items m ON d.win = m.win WHERE d.side = 0 AND len(d.win) = 5),
-slots AS (
-  SELECT doc_id, item_id, shift, a, count(DISTINCT b) AS k, bool_and(a = b) AS same
-  FROM (SELECT doc_id, item_id, shift, a1 AS a, b1 AS b FROM hits UNION ALL SELECT doc_id, item_id, shift, a2, b2 FROM hits)
-  GROUP BY ALL),
+  FROM words),
+templated AS (
+  SELECT side, id, tokens, i, list(t) OVER f AS win, sum(CASE WHEN t = w THEN 1 ELSE 0 END) OVER f AS own
+  FROM coded WINDOW f AS (PARTITION BY side, id, tokens ORDER BY i ROWS BETWEEN CURRENT ROW AND {WINDOW - 1} FOLLOWING)),
+good AS (
+  SELECT id, i, 0 AS size, win FROM templated WHERE side = 1 AND len(win) = {WINDOW} AND own >= {LEAST_WORDS}),
+plain AS (
+  SELECT id, i, least(len(tokens), {WINDOW}) AS size, tokens[i:i + least(len(tokens), {WINDOW}) - 1] AS win FROM words
+  WHERE side = 1 AND id NOT IN (SELECT id FROM good) AND i <= len(tokens) - least(len(tokens), {WINDOW}) + 1),
+items AS MATERIALIZED (
+  SELECT *, count(*) OVER (PARTITION BY id) AS n FROM (SELECT * FROM good UNION ALL SELECT * FROM plain)),
+asked AS (
+  SELECT id, i, 0 AS size, win FROM templated WHERE side = 0 AND len(win) = {WINDOW}
+  UNION ALL SELECT w.id, w.i, s.size, w.tokens[w.i:w.i + s.size - 1]
+  FROM words w JOIN (SELECT DISTINCT size FROM items WHERE size > 0) s ON w.i + s.size - 1 <= len(w.tokens) WHERE w.side = 0),
+hits AS MATERIALIZED (
+  SELECT d.id AS doc_id, m.id AS item_id, d.i - m.i AS shift, m.i AS ipos, m.n, len(m.win) AS width
+  FROM asked d JOIN items m ON d.size = m.size AND d.win = m.win),
+places AS (
+  SELECT DISTINCT doc_id, item_id, shift, ipos + unnest(range(width)) AS i FROM hits),
+met AS (
+  SELECT doc_id, item_id, shift, a.w AS a, b.w AS b FROM places p
+  JOIN words a ON a.side = 1 AND a.id = p.item_id AND a.i = p.i
+  JOIN words b ON b.side = 0 AND b.id = p.doc_id AND b.i = p.i + p.shift),
 agreed AS (
-  SELECT doc_id, item_id, shift, bool_and(same) AS same FROM slots GROUP BY ALL HAVING max(k) = 1),
+  SELECT doc_id, item_id, shift, bool_and(a = b) AS same FROM met GROUP BY ALL
+  HAVING count(DISTINCT (a, b)) = count(DISTINCT a) AND count(DISTINCT (a, b)) = count(DISTINCT b)),
 once AS (
   SELECT doc_id, item_id, ipos, max(n) AS n, bool_or(same) AS same FROM hits JOIN agreed USING (doc_id, item_id, shift)
   GROUP BY ALL)

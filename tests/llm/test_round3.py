@@ -9,7 +9,7 @@ from collections import Counter, defaultdict
 
 import pytest
 
-from flowlens.llm import pii, prefixes, secrets, simhash, spelling, urls
+from flowlens.llm import decontamination, pii, prefixes, secrets, simhash, spelling, urls
 
 # ---- spelling variants ----------------------------------------------------------------------------------------
 
@@ -281,3 +281,42 @@ def test_overlapping_secrets_leave_nothing(spark):
     df = spark.createDataFrame([(1, text), (2, "\u00e9" * 600 + " secret=abcdefgh " + "z" * 600)], "doc_id long, text string")
     got = {r.doc_id: r.text for r in secrets.redacted(df).collect()}
     assert got == {1: "x <SECRET> y", 2: "\u00e9" * 600 + " <SECRET> " + "z" * 600}
+
+
+# ---- benchmark items: all slots, and items without a template window -------------------------------------------
+
+
+@pytest.mark.parametrize("text,verbatim", [
+    ("add apples 5 5 pears now", True), ("add apples 8 8 pears now", False), ("add apples 3 8 pears now", None),
+    ("add apples 5 8 pears now", None), ("x add apples 9 9 pears now y", False), ("add apples 5 5 plums now", None),
+])
+def test_slots_agree_at_every_position(spark, text, verbatim):
+    bench = spark.createDataFrame([(1, "add apples 5 5 pears now")], "item_id long, text string")
+    got = {r.doc_id: r.verbatim for r in decontamination.op3(documents(spark, [(7, text)]), bench).collect()}
+    assert got == ({} if verbatim is None else {7: verbatim})
+
+
+def test_slots_agree_both_ways(spark):
+    bench = spark.createDataFrame([(1, "first take 5 apples then add 7 pears to them")], "item_id long, text string")
+    rows = [(1, "first take 9 apples then add 9 pears to them"), (2, "first take 7 apples then add 5 pears to them")]
+    assert [r.doc_id for r in decontamination.op3(documents(spark, rows), bench).collect()] == [2]
+
+
+def test_short_items_are_found_whole(spark):
+    items = [(1, "Solve x"), (2, "Photosynthesis"), (3, "12 times 7 is"), (4, "1 2 3 4 5 6 7"), (5, None), (6, ""), (7, "John Smith met Ann Lee")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    rows = [(1, "please Solve x now"), (2, "on Photosynthesis"), (3, "so 12 times 7 is what"), (4, "0 1 2 3 4 5 6 7 8"),
+            (5, "Solve y; Photosynthesi; 12 times 8 is; 1 2 3 4 0 5 6 7"), (6, "when John Smith met Ann Lee"), (7, "when Jim Smith met Ann Lee"), (8, None)]
+    got = {(r.doc_id, r.item_id, r.verbatim) for r in decontamination.op3(documents(spark, rows), bench).collect()}
+    assert got == {(1, 1, True), (2, 2, True), (3, 3, True), (4, 4, True), (6, 7, True)}
+
+
+def test_a_passage_in_every_document_and_a_long_text(spark):
+    rng = random.Random(6)
+    item = "a farmer sells 12 baskets of ripe apples for 30 dollars each and buys 4 goats"
+    filler = lambda n: " ".join(rng.choice(["so", "it", "was", "then", "and"]) for _ in range(n))
+    rows = [(i, f"{filler(9)} {item} {filler(5)}") for i in range(300)] + [(900, f"{filler(60_000)} {item}"), (901, filler(60_000))]
+    bench = spark.createDataFrame([(1, item), (2, item)], "item_id long, text string")
+    got = decontamination.op3(documents(spark, rows + rows[:3]), bench).collect()
+    assert {(r.doc_id, r.item_id, r.share, r.verbatim) for r in got} == {(d, i, 1.0, True) for d, _ in rows if d != 901 for i in (1, 2)}
+    assert len(got) == 602
