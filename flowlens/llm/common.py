@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 SLICE_BYTES = 1 << 20
+BATCH_ROWS = 1000
+_BATCH_CONF = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _BASE = np.uint64(0xD6E8FEB86659FD93)
 _SPACE = np.zeros(256, bool)
@@ -35,6 +37,13 @@ def spread(spark: SparkSession, least: int = 1) -> int:
     return max(least, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Hold this session's Arrow batches to rows that are few enough for long texts; a lower setting stays."""
+    now = int(spark.conf.get(_BATCH_CONF))
+    if not 0 < now <= BATCH_ROWS:
+        spark.conf.set(_BATCH_CONF, str(BATCH_ROWS))
+
+
 def arrow_map(
     df: DataFrame, schema: str | StructType, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], most: int = SLICE_BYTES
 ) -> DataFrame:
@@ -47,6 +56,7 @@ def arrow_map(
                 if made is not None:
                     yield made
 
+    small_batches(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 

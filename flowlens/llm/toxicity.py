@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowlens.llm.common import LETTERS, SLICE_BYTES, Words, arrow_map, slices, texts
+from flowlens.llm.common import LETTERS, SLICE_BYTES, Words, arrow_map, slices, small_batches, texts
 from flowlens.llm.learn import fold, teaching_sample
 
 BITS = 20
@@ -193,11 +193,12 @@ def accepted(docs: DataFrame, model: Model, limit: float = 0.5) -> DataFrame:
     @F.arrow_udf("double")
     def whole(text: pa.Array) -> pa.Array:
         scores = [np.empty(0)]
-        for part in slices(pa.RecordBatch.from_arrays([text], names=["text"]), SLICE_BYTES):
+        for part in slices(pa.RecordBatch.from_arrays([text], names=["text"]), SLICE_BYTES // 4):
             b = bags(Words(part.column("text"), LETTERS))
             scores.append(noisy_or(model.sentence_logits(b), b.doc, part.num_rows))
         return pa.array(np.concatenate(scores), pa.float64())
 
+    small_batches(docs.sparkSession)
     return docs.where(whole(F.col("text")) < limit)
 
 
