@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 SLICE_BYTES = 1 << 20
-BATCH_ROWS = 1000
+BATCH_ROWS = 2000
 _BATCH_CONF = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _BASE = np.uint64(0xD6E8FEB86659FD93)

@@ -9,6 +9,7 @@ number of rows, reaches the driver.
 
 from __future__ import annotations
 
+import os
 import re
 from dataclasses import dataclass
 
@@ -28,7 +29,7 @@ SIZE = 2048
 STEP = 8
 END_ID = 1
 VOCABULARY = "word_bpe_49k.json"
-CACHE_WORDS = 500_000
+CACHE_WORDS = 200_000
 JOIN_WORDS = 512
 SLICE_BYTES = 8 << 20
 _PLAIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+[.,]?")
@@ -42,6 +43,7 @@ class Encoder:
     """
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; threads would only hold memory
         self.tokenizer = Tokenizer.from_file(path)
         vocab = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocab.values()) + 1, np.int64)
