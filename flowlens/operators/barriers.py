@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from flowlens.functions.text import is_blank, pending, same_text
 from flowlens.operators import routing
-from flowlens.operators.skew import CHUNK, number_rows, spread_join
+from flowlens.operators.skew import CHUNK, spread_join
 from flowlens.operators.storage import cut
 from flowlens.sources.catalogue import Catalogue
 
@@ -38,7 +38,7 @@ def working_log(ledger: DataFrame, *extra: str) -> DataFrame:
     """The rows and columns barriers need, decoded once and stored narrow; every later step reads this."""
     used = (
         "message_name", "dag_key", "has_flow", "flow_id", FLOW, CHUNK, "arrival_seq", "event_time", "status",
-        "batch_index", "retryable", "has_action", "task_flow_id", "action_name", "action_code", "verdict",
+        "batch_index", "retryable", "has_action", "task_flow_id", "action_name", "action_code", "verdict", "href",
     )
     kept = routing.is_initiation() | routing.is_auditable() | routing.is_countable_candidate()
     return cut(ledger.filter(kept).select(*used, *extra))
@@ -77,15 +77,19 @@ def next_batches(closed: DataFrame, catalogue: Catalogue) -> DataFrame:
 def count_step(flows: DataFrame, events: DataFrame, catalogue: Catalogue, index: int) -> DataFrame:
     """Count batch ``index`` of every flow that has it open, close it when drained, open the next one.
 
-    Only the first ``task_total`` countable events after opening matter. Events meet the narrow open flows on (flow,
-    chunk) pieces and are ranked within a piece; one row per piece carries the counts of earlier pieces. What is left is
-    summed map-side, so neither a hot flow nor a wide batch gathers its events in one task.
+    Only the first ``task_total`` countable events after opening matter, and no batch has more than the catalogue's widest. So
+    events are ranked within (flow, chunk) pieces first and over the flow afterwards, both with that bound as a literal: Spark keeps
+    that many rows per key in each task before either shuffle, and neither a hot flow nor a wide batch gathers its events.
     """
     open_row = c("opened_seq").isNotNull()
     opened = flows.filter(open_row).select(FLOW, "task_total", "opened_seq")
     mine = events.filter(c("batch_index") == index).select(FLOW, CHUNK, "arrival_seq", "failed")
     after = spread_join(mine, opened, FLOW).filter(c("arrival_seq") > c("opened_seq"))
-    first = number_rows(after, [FLOW], ["arrival_seq"], "_rn").filter(c("_rn") <= c("task_total"))
+    first = after
+    for keys in ([FLOW, CHUNK], [FLOW]):
+        rank = F.row_number().over(W.partitionBy(*keys).orderBy("arrival_seq"))
+        first = first.withColumn("_rn", rank).filter(c("_rn") <= catalogue.widest)
+    first = first.filter(c("_rn") <= c("task_total"))
     found = first.groupBy(FLOW).agg(
         F.count(F.when(~c("failed"), 1)).cast("int").alias("_ok"),
         F.count(F.when(c("failed"), 1)).cast("int").alias("_fail"),
@@ -228,6 +232,16 @@ def decide(snapshot: DataFrame, keys: tuple[str, ...] = (FLOW, "batch_index")) -
     )
 
 
+def with_times(barriers: DataFrame, log: DataFrame) -> DataFrame:
+    """Adds opened_at and closed_at, the event times at the barrier's positions; sequence numbers are unique, so no key is hot."""
+    times = log.select(c("arrival_seq").alias("_seq"), "event_time")
+    out = barriers
+    for name in ("opened", "closed"):
+        at = times.withColumnsRenamed({"_seq": f"_{name}", "event_time": f"{name}_at"})
+        out = out.join(at, c(f"{name}_seq") == c(f"_{name}"), "left").drop(f"_{name}")
+    return out
+
+
 def final_values(decided: DataFrame) -> DataFrame:
     """Fill in the values of batches without any task row and the default reasons."""
     empty = F.coalesce("task_rows", F.lit(0)) == 0

@@ -9,6 +9,9 @@ from flowlens import schemas as S
 from flowlens.functions.text import is_blank, or_default
 from flowlens.operators import barriers as B
 from flowlens.operators.lookups import with_action, with_dcx
+from flowlens.operators.documents import folded_at
+from flowlens.operators.routing import is_countable_candidate, is_initiation
+from flowlens.operators.skew import CHUNK, CHUNK_ROWS, chunk_of, measured
 from flowlens.operators.tasks import latest_results
 from flowlens.sources.catalogue import Catalogue
 
@@ -51,7 +54,7 @@ def batch_dependencies(catalogue: Catalogue) -> DataFrame:
 def dependency_candidates(ledger: DataFrame, catalogue: Catalogue) -> DataFrame:
     """The ledger with result bodies kept only where some batch depends on the action and the event completed it."""
     needed = declared_dependencies(catalogue).select(c("dependency").alias("action_name")).distinct()
-    marked = ledger.join(F.broadcast(needed.withColumn("_needed", F.lit(True))), "action_name", "left")
+    marked = ledger.join(measured(needed.withColumn("_needed", F.lit(True))), "action_name", "left")
     return marked.withColumn(
         "result_json", F.when(c("_needed") & (c("status") == "COMPLETED"), c("result_json"))
     ).drop("_needed")
@@ -87,21 +90,63 @@ def missing_dependencies(rows: DataFrame) -> DataFrame:
     return rows.filter(c("result_json").isNull()).drop("result_json")
 
 
+#: Fields of the flow document that the log itself patches, and the wire names they have inside a command.
+DOCUMENT = {"state": "doc_state", "href": "doc_href", "processFlowSpecification": "doc_specification"}
+
+
+def patch_columns() -> list[Column]:
+    """What a ledger row patches in its flow's document: an initiation names the specification, a completed task moves the
+    state on and is the last reference. A field that a row does not touch is null."""
+    begins, done = is_initiation(), is_countable_candidate() & (c("status") == "COMPLETED")
+    return [
+        F.when(begins, F.lit("initial")).when(done, F.lit("inProgress")).alias("doc_state"),
+        F.when(done, c("href")).alias("doc_href"),
+        F.when(begins, c("dag_key")).alias("doc_specification"),
+    ]
+
+
+def flow_patches(ledger: DataFrame) -> DataFrame:
+    """(flow, chunk, arrival_seq, event_time, patched fields) of the rows at which a batch can open, or that patch the document."""
+    begins = is_initiation()
+    return ledger.filter(begins | is_countable_candidate()).select(
+        F.when(begins, c("flow_id")).otherwise(c(FLOW)).alias(FLOW), CHUNK, "arrival_seq", "event_time", *patch_columns()
+    )
+
+
+def with_context(barriers: DataFrame, ledger: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+    """Adds event_time and process_flow (JSON) to every barrier: the moment it opened, and its flow's document at that moment."""
+    moments = barriers.withColumn("arrival_seq", c("opened_seq")).withColumn(CHUNK, chunk_of("opened_seq", chunk_rows))
+    fields = ["event_time", *DOCUMENT.values()]
+    return with_document(folded_at(flow_patches(ledger), moments, FLOW, fields)).drop("arrival_seq", CHUNK)
+
+
+def with_document(rows: DataFrame) -> DataFrame:
+    entry = F.struct(c(FLOW).alias("id"), *[c(n).alias(w) for w, n in DOCUMENT.items()])
+    return rows.withColumn("process_flow", F.to_json(entry)).drop(*DOCUMENT.values())
+
+
 def batch_commands(
     barriers: DataFrame, catalogue: Catalogue, codes: DataFrame, dcx: DataFrame, dependencies: DataFrame | None = None
 ) -> DataFrame:
     """One command per sendable action of every opened batch, in (command_seq, emit_pos) order.
 
-    Blank and unregistered actions are not sent, yet ``batch_total`` stays the declared size.
+    Blank and unregistered actions are not sent, yet ``batch_total`` stays the declared size. Barriers that carry the columns
+    of ``with_context`` hand them on. ``barriers`` may be a stream of opened batches: all joins are with static tables then, and the
+    results an action depends on come from its column ``results``, a map by action name.
     """
     actions = catalogue.actions.filter(~is_blank(c("action_name"))).select(
-        "dag_key", "batch_index", "action_pos", "action_name", "execution_mode", "flow_type", "modem_type"
+        "dag_key", "batch_index", "action_pos", "action_name", "execution_mode", "flow_type", "modem_type", "depends_on"
     )
-    opened = barriers.select(FLOW, "batch_index", "dag_key", "task_total", "opened_seq")
+    context = [n for n in ("event_time", "process_flow", "results") if n in barriers.columns]
+    opened = barriers.select(FLOW, "batch_index", "dag_key", "task_total", "opened_seq", *context)
     rows = with_action(opened.join(actions, ["dag_key", "batch_index"]), codes).filter(c("action_code").isNotNull())
     rows = with_dcx(rows, dcx, or_default(c("flow_type")), or_default(c("modem_type")))
     if dependencies is not None:
         rows = rows.join(dependency_maps(dependencies), [FLOW, "batch_index", "action_pos"], "left")
+    elif "results" in context:
+        wanted = F.map_filter("results", lambda name, _: F.array_contains(c("depends_on"), name))
+        ordered = F.map_from_entries(F.array_sort(F.map_entries(wanted)))
+        rows = rows.withColumn("dependency_results", F.when(F.size(wanted) > 0, ordered))
     else:
         rows = rows.withColumn("dependency_results", F.lit(None).cast("map<string,string>"))
     return rows.select(
@@ -117,6 +162,7 @@ def batch_commands(
         "dcx_action_code",
         "execution_mode",
         "dependency_results",
+        *[n for n in context if n != "results"],
         c("opened_seq").alias("command_seq"),
         (c("action_pos") + 1).alias("emit_pos"),
     )

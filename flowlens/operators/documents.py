@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from flowlens import schemas as S
@@ -123,6 +124,22 @@ def fold_patches(patches: DataFrame, fields: list[str]) -> DataFrame:
     return patches.groupBy("id").agg(*[F.max_by(f, F.when(c(f).isNotNull(), c("seq"))).alias(f) for f in fields])
 
 
+def folded_at(patches: DataFrame, moments: DataFrame, key: str, fields: list[str], order: str = "arrival_seq") -> DataFrame:
+    """``moments`` with each field's last present value among the patches of their key at or before them, null when none.
+
+    Both hold (key, chunk, order); ``fields`` are columns of ``patches``. The running fold scans (key, chunk) pieces, each bounded by the
+    chunk size; one row per piece hands the fold of all earlier pieces over. No pair of patch and moment is ever formed.
+    """
+    asked = moments.select(key, CHUNK, order, F.struct("*").alias("_m"))
+    both = patches.select(key, CHUNK, order, *fields).unionByName(asked, allowMissingColumns=True)
+    heads = both.groupBy(key, CHUNK).agg(*[F.max_by(f, F.when(c(f).isNotNull(), c(order))).alias(f) for f in fields])
+    before = W.partitionBy(key).orderBy(CHUNK).rowsBetween(W.unboundedPreceding, -1)
+    carried = heads.select(key, CHUNK, *[F.last(f, ignorenulls=True).over(before).alias(f"_c_{f}") for f in fields])
+    inside = W.partitionBy(key, CHUNK).orderBy(order, c("_m").isNotNull()).rowsBetween(W.unboundedPreceding, W.currentRow)
+    running = both.withColumns({f"_r_{f}": F.last(f, ignorenulls=True).over(inside) for f in fields}).filter(c("_m").isNotNull())
+    return running.join(carried, [key, CHUNK]).select("_m.*", *[F.coalesce(f"_r_{f}", f"_c_{f}").alias(f) for f in fields])
+
+
 def appended_entries(patches: DataFrame, array: str) -> DataFrame:
     """The appending variant for one array field, in row form: every entry of every patch in patch order."""
     return patches.select("id", "seq", F.posexplode(array).alias("entry_pos", "_e")).select(

@@ -503,18 +503,29 @@ acts(dag_key, b, pos, name, mode, flow_type, modem_type) AS (
 cmd_codes AS (
   SELECT concat('a', p_partkey % 2) AS name, arg_max(code, p_partkey) AS code FROM pt GROUP BY 1
 ),
+doc AS (
+  SELECT x.flow, x.b, arg_max(CASE WHEN e.is_start THEN 'initial' ELSE 'inProgress' END, e.seq) AS state,
+    arg_max(e.task, e.seq) FILTER (NOT e.is_start) AS task, arg_max(e.dag_key, e.seq) FILTER (e.is_start) AS dag_key
+  FROM barrier x JOIN ev e ON e.flow = x.flow AND e.seq <= x.opened AND (e.is_start OR e.status = 'COMPLETED')
+  GROUP BY x.flow, x.b
+),
 dep_map AS (
   SELECT flow, b, action_pos, string_agg(concat(dependency, '=', result_json), '|' ORDER BY dependency) AS txt
   FROM dep_row WHERE result_json IS NOT NULL GROUP BY ALL
 )
-SELECT x.flow AS correlation_id, 'task.execute' AS message_name, 'COMMAND' AS message_type,
+SELECT sha256(concat_ws('|', x.flow, 'task.execute', x.b, a.pos, x.opened)) AS event_id,
+  (SELECT ts FROM ev WHERE ev.seq = x.opened) AS event_time,
+  x.flow AS correlation_id, 'task.execute' AS message_name, 'COMMAND' AS message_type,
   'engine' AS source, 'EXECUTE' AS intent, x.dag_key, x.b AS batch_index, x.total AS batch_total,
   a.name AS action_name, k.code AS action_code,
   coalesce((SELECT dcx FROM dcx WHERE key = CASE WHEN k.code LIKE '0%' THEN concat(k.code, ',DEFAULT,', a.modem_type)
                                             ELSE concat(k.code, ',', a.flow_type, ',DEFAULT') END),
            (SELECT dcx FROM dcx WHERE key = concat(k.code, ',DEFAULT,DEFAULT'))) AS dcx_action_code,
-  a.mode AS execution_mode, coalesce(m.txt, '') AS dependency_results, x.opened AS command_seq, a.pos + 1 AS emit_pos
-FROM barrier x JOIN acts a ON a.dag_key = x.dag_key AND a.b = x.b JOIN cmd_codes k ON k.name = a.name
+  a.mode AS execution_mode, coalesce(m.txt, '') AS dependency_results,
+  concat('{"id":"', x.flow, '","state":"', p.state, '"', CASE WHEN p.task IS NULL THEN '' ELSE concat(',"href":"/taskFlow/', p.task, '"') END,
+    ',"processFlowSpecification":"', p.dag_key, '"}') AS process_flow,
+  x.opened AS command_seq, a.pos + 1 AS emit_pos
+FROM barrier x JOIN doc p ON p.flow = x.flow AND p.b = x.b JOIN acts a ON a.dag_key = x.dag_key AND a.b = x.b JOIN cmd_codes k ON k.name = a.name
 LEFT JOIN dep_map m ON m.flow = x.flow AND m.b = x.b AND m.action_pos = a.pos"""
 
 ORACLE["dependency_results"] = _barriers() + "," + _DEPS + """
@@ -606,4 +617,5 @@ ORACLE["stream_dedup"] = _with(_EV) + """
 SELECT CAST(seq AS VARCHAR) AS event_id, flow AS correlation_id, status FROM ev"""
 ORACLE["stream_signals"] = ORACLE["signals_correlated"]
 ORACLE["stream_barriers"] = ORACLE["barrier_lifecycle"]
+ORACLE["stream_commands"] = ORACLE["batch_commands"]
 ORACLE["stream_lifecycle"] = ORACLE["lifecycle_rows"]

@@ -496,19 +496,26 @@ def opened_dependencies(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFr
     return C.dependency_rows(log, barriers, catalogue), barriers, catalogue
 
 
-def batch_commands(spark: SparkSession, sf: str) -> DataFrame:
-    found, barriers, catalogue = opened_dependencies(spark, sf)
-    rows = C.batch_commands(barriers, catalogue, command_codes(spark, sf), dcx_codes(spark, sf), found)
+def command_view(rows: DataFrame) -> DataFrame:
     deps = F.concat_ws(
         "|", F.transform(F.map_entries("dependency_results"), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
     )
     return rows.select(
-        "correlation_id", "message_name", "message_type", "source", "intent", "dag_key", "batch_index", "batch_total",
-        "action_name", "action_code", "dcx_action_code", "execution_mode", deps.alias("dependency_results"),
-        "command_seq", "emit_pos",
+        "event_id", c("event_time").cast("timestamp_ntz").alias("event_time"), "correlation_id", "message_name", "message_type",
+        "source", "intent", "dag_key", "batch_index", "batch_total", "action_name", "action_code", "dcx_action_code",
+        "execution_mode", deps.alias("dependency_results"), "process_flow", "command_seq", "emit_pos",
     )
 
 
+def batch_commands(spark: SparkSession, sf: str) -> DataFrame:
+    catalogue = A.event_catalogue(spark)
+    log = B.working_log(C.dependency_candidates(event_ledger(spark, sf), catalogue), "result_json")
+    barriers = cut(B.lifecycle_of(log, catalogue))
+    found = C.dependency_rows(log, barriers, catalogue)
+    opened = C.with_context(barriers, log)
+    return command_view(C.batch_commands(opened, catalogue, command_codes(spark, sf), dcx_codes(spark, sf), found))
+
+
 def dependency_results(spark: SparkSession, sf: str) -> DataFrame:
     rows, _, _ = opened_dependencies(spark, sf)
     return rows.select("correlation_id", "batch_index", "action_pos", "dependency", "result_json").filter(

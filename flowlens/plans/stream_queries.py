@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowlens import schemas as S
+from flowlens.operators import commands as C
 from flowlens.operators.storage import fresh_dir
 from flowlens.plans import queries as Q
 from flowlens.sources import adapters as A
@@ -62,6 +63,16 @@ def flow_changes(spark: SparkSession, sf: str) -> DataFrame:
     return runs.drain_to_table(stateful.stream_flows(ledger, A.event_catalogue(spark), expire=False))
 
 
+def stream_commands(spark: SparkSession, sf: str) -> DataFrame:
+    """Commands as a stream: opened batches leave the state and meet catalogue and registry as static tables."""
+    _stateful(spark)
+    catalogue = A.event_catalogue(spark)
+    ledger = E.ledger(A.shape_events(event_stream(spark, sf)))
+    opened = stateful.opened_batches(stateful.stream_flows(ledger, catalogue, expire=False))
+    rows = C.batch_commands(opened, catalogue, Q.command_codes(spark, sf), Q.dcx_codes(spark, sf))
+    return runs.drain_to_table(Q.command_view(rows))
+
+
 def stream_barriers(spark: SparkSession, sf: str) -> DataFrame:
     rows = stateful.barrier_table(flow_changes(spark, sf))
     return rows.withColumn("pending", c("task_total") - c("task_completed") - c("task_failed")).select(
@@ -87,5 +98,6 @@ def stream_lifecycle(spark: SparkSession, sf: str) -> DataFrame:
 
 STREAM_QUERIES = {
     f.__name__: f
-    for f in (stream_quarantine, stream_task_table, stream_dedup, stream_signals, stream_barriers, stream_lifecycle)
+    for f in (stream_quarantine, stream_task_table, stream_dedup, stream_signals, stream_barriers, stream_commands,
+              stream_lifecycle)
 }

@@ -2,11 +2,14 @@
 
 State lives in the RocksDB state store, one flow (or id) at a time. A flow's rows within one micro-batch are put in
 arrival order here; across micro-batches the source must keep each key's order, as a keyed topic does. What one call
-sees of a key is bounded by the trigger's admission limit (``maxOffsetsPerTrigger`` / ``maxFilesPerTrigger``).
+sees of a key is bounded by the trigger's admission limit (``maxOffsetsPerTrigger`` / ``maxFilesPerTrigger``). Tasks are a map by
+task id: an update reads and writes its own entry, all entries are read only where a batch closes or opens. One timer per flow,
+moved on by every call, lets the flow expire as a whole.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -16,6 +19,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from flowlens.operators import barriers as B
 from flowlens.operators import routing
+from flowlens.operators.commands import dependency_candidates, patch_columns, with_document
 from flowlens.sources.catalogue import Catalogue
 
 c = F.col
@@ -31,32 +35,54 @@ def _clock(expire: bool) -> tuple[str, int | None]:
 CHANGES = (
     "correlation_id string, kind string, seq long, emit_pos int, batch_index int, dag_key string, task_total int,"
     "task_completed int, task_failed int, opened_seq long, closed_seq long, status string, kickout string,"
-    "message string, process_status string, status_change_reason string"
+    "message string, process_status string, status_change_reason string, event_time timestamp, results string,"
+    "doc_state string, doc_href string, doc_specification string"
 )
-_COLUMNS = [f.strip().split(" ")[0] for f in CHANGES.split(",")]
+
+
+def _names(schema: str) -> list[str]:
+    return [f.strip().split(" ")[0] for f in schema.split(",")]
+
+
+_COLUMNS = _names(CHANGES)
 _FLOW_STATE = (
-    "batch_index int, dag_key string, task_total int, task_completed int, task_failed int, opened_seq long, status string"
+    "batch_index int, dag_key string, task_total int, task_completed int, task_failed int, opened_seq long, status string,"
+    "plan string"
 )
+_DOCUMENT_STATE = "doc_state string, doc_href string, doc_specification string"
 _TASK_STATE = (
     "first_seq long, action_name string, status string, batch_index int, parsed boolean, body_status string,"
-    "status_code string, change_reason string"
+    "status_code string, change_reason string, result_json string"
 )
-_TASK_FIELDS = [f.strip().split(" ")[0] for f in _TASK_STATE.split(",")]
+_TASK_FIELDS, _FLOW_FIELDS, _DOCUMENT_FIELDS = _names(_TASK_STATE), _names(_FLOW_STATE), _names(_DOCUMENT_STATE)
+
 
+def plans(catalogue: Catalogue) -> DataFrame:
+    """(dag_key, plan): the declared batches of each DAG as ``index:size`` texts, no size where a batch has no actions."""
+    entry = F.struct("batch_index", F.concat_ws(":", c("batch_index").cast("string"), F.coalesce(c("task_total").cast("string"), F.lit(""))).alias("t"))
+    return catalogue.batches.groupBy("dag_key").agg(F.array_join(F.array_sort(F.collect_list(entry))["t"], ",").alias("plan"))
 
-def flow_inputs(ledger: DataFrame) -> DataFrame:
-    """The narrow rows barriers need, keyed by flow: initiations and task events that change a row or a count."""
+
+def flow_inputs(ledger: DataFrame, catalogue: Catalogue) -> DataFrame:
+    """The narrow rows barriers need, keyed by flow: initiations, task events that change a row or a count, document patches.
+
+    The catalogue is joined as a static table: an initiation brings the plan of its DAG along, and a completed task its result where
+    some batch depends on its action.
+    """
     start = routing.is_initiation()
     audit, count = routing.is_auditable(), routing.is_countable_candidate() & (
         routing.counts_as_done() | routing.counts_as_failed()
     )
-    return ledger.filter(start | audit | count).select(
+    rows = dependency_candidates(ledger.filter(start | audit | routing.is_countable_candidate()), catalogue)
+    return rows.join(plans(catalogue), "dag_key", "left").select(
         F.when(start, c("flow_id")).otherwise(c("correlation_id")).alias("correlation_id"),
         "arrival_seq",
+        c("event_time").cast("timestamp").alias("event_time"),
         start.alias("is_start"),
         F.coalesce(audit, F.lit(False)).alias("is_audit"),
         F.coalesce(count, F.lit(False)).alias("is_count"),
         "dag_key",
+        "plan",
         "status",
         "batch_index",
         "task_flow_id",
@@ -65,6 +91,8 @@ def flow_inputs(ledger: DataFrame) -> DataFrame:
         c("verdict.body_status").alias("body_status"),
         c("verdict.status_code").alias("status_code"),
         c("verdict.change_reason").alias("change_reason"),
+        "result_json",
+        *patch_columns(),
     )
 
 
@@ -102,32 +130,43 @@ def _judge(tasks: list[dict]) -> tuple[str | None, str, str]:
     return kickout, status, change or (B.REASON_SUCCESS if status == B.PASSED else B.REASON_FAILURE)
 
 
+def _batches(plan: str) -> dict[int, int | None]:
+    return {int(i): int(n) if n else None for i, n in (e.split(":") for e in plan.split(","))}
+
+
 class FlowBarriers(StatefulProcessor):
-    """Emits ``barrier`` rows (current counts and status, the newest ``seq`` counts) and ``lifecycle`` rows."""
+    """Emits ``barrier`` rows (current counts and status, the newest ``seq`` counts), ``lifecycle`` rows and ``opened`` rows."""
 
-    def __init__(self, totals: dict[tuple[str, int], int | None], ttl_ms: int | None):
-        self.totals = totals
+    def __init__(self, ttl_ms: int | None):
         self.ttl_ms = ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.flow = handle.getValueState("flow", _FLOW_STATE, self.ttl_ms)
-        # Task updates in arrival order, appended without reading; folded when a batch closes, dropped at the end.
-        self.tasks = handle.getListState("tasks", f"task_flow_id string, {_TASK_STATE}", self.ttl_ms)
-
-    def _open(self, dag: str, index: int, seq: int) -> dict:
-        return {
-            "batch_index": index, "dag_key": dag, "task_total": self.totals[dag, index], "task_completed": 0,
-            "task_failed": 0, "opened_seq": seq, "status": "OPEN",
-        }
+        self.handle = handle
+        self.flow = handle.getValueState("flow", _FLOW_STATE)
+        self.document = handle.getValueState("document", _DOCUMENT_STATE)
+        self.tasks = handle.getMapState("tasks", "task_flow_id string", _TASK_STATE)
+
+    def _expire_later(self, timers) -> None:
+        """The flow expires as a whole, this long after its last row."""
+        if self.ttl_ms is not None:
+            for at in list(self.handle.listTimers()):
+                self.handle.deleteTimer(at[0] if isinstance(at, tuple) else at)
+            self.handle.registerTimer(timers.getCurrentProcessingTimeInMs() + self.ttl_ms)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        self.flow.clear()
+        self.document.clear()
+        self.tasks.clear()
+        return iter(())
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        flow_id = key[0]
+        self._expire_later(timerValues)
         stored = self.flow.get()
-        flow = dict(zip([f.strip().split(" ")[0] for f in _FLOW_STATE.split(",")], stored)) if stored else None
+        flow = dict(zip(_FLOW_FIELDS, stored, strict=True)) if stored else None
         if flow is not None and flow["status"] != "OPEN":
             return
+        document = dict(zip(_DOCUMENT_FIELDS, self.document.get() or [None] * 3, strict=True))
         touched: dict[str, dict] = {}
-        folded: dict[str, dict] | None = None
         barrier: dict[int, dict] = {}
         out: list[dict] = []
 
@@ -144,17 +183,26 @@ class FlowBarriers(StatefulProcessor):
         def note(state: dict, seq: int, **more) -> None:
             barrier[state["batch_index"]] = {"kind": "barrier", "seq": seq, "emit_pos": 0, **state, **more}
 
+        def opened(dag: str, index: int, plan: str, r: dict) -> dict:
+            seq = int(r["arrival_seq"])
+            state = {"batch_index": index, "dag_key": dag, "task_total": _batches(plan)[index], "task_completed": 0,
+                     "task_failed": 0, "opened_seq": seq, "status": "OPEN", "plan": plan}
+            note(state, seq)
+            results = _results(self._all_tasks(touched))
+            out.append({"kind": "opened", "seq": seq, "emit_pos": 0, **state, **document, "event_time": r["event_time"],
+                        "results": json.dumps(results)})
+            return state
+
         for r in _ordered(rows):
             seq = int(r["arrival_seq"])
+            document |= {f: r[f] for f in _DOCUMENT_FIELDS if r[f] is not None}
             if r["is_start"]:
-                dag = r["dag_key"]
-                if flow is None and (dag, 0) in self.totals:
-                    lifecycle(seq, 0, "INITIAL", dag)
-                    if self.totals[dag, 0] is None:
-                        no_actions(dag, 0, seq)
+                if flow is None and r["plan"] is not None and 0 in _batches(r["plan"]):
+                    lifecycle(seq, 0, "INITIAL", r["dag_key"])
+                    if _batches(r["plan"])[0] is None:
+                        no_actions(r["dag_key"], 0, seq)
                     else:
-                        flow = self._open(dag, 0, seq)
-                        note(flow, seq)
+                        flow = opened(r["dag_key"], 0, r["plan"], r)
                 continue
             if r["is_audit"]:
                 self._upsert(touched, r, seq)
@@ -164,75 +212,79 @@ class FlowBarriers(StatefulProcessor):
             if flow["task_completed"] + flow["task_failed"] < flow["task_total"]:
                 note(flow, seq)
                 continue
-            folded = self._fold(touched)
-            kickout, status, reason = _judge(self._batch_rows(folded, flow["batch_index"]))
+            index, dag, plan = flow["batch_index"], flow["dag_key"], flow["plan"]
+            mine = (t for t in self._all_tasks(touched).values() if t["batch_index"] == index)
+            kickout, status, reason = _judge(sorted(mine, key=lambda t: t["first_seq"]))
             flow["status"] = "FAILED" if kickout else "CLOSED"
             note(flow, seq, closed_seq=seq, kickout=kickout, process_status=status, status_change_reason=reason)
-            index, dag = flow["batch_index"], flow["dag_key"]
+            declared = _batches(plan)
             if kickout:
                 lifecycle(seq, 1, "FAILED", None, index, f"batch {index} kickout: {kickout}", (status, reason))
-            elif (dag, index + 1) not in self.totals:
+            elif index + 1 not in declared:
                 lifecycle(seq, 1, "COMPLETED", None, index, None, (status, reason))
-            elif self.totals[dag, index + 1] is None:
+            elif declared[index + 1] is None:
                 no_actions(dag, index + 1, seq)
             else:
-                flow = self._open(dag, index + 1, seq)
-                note(flow, seq)
+                flow = opened(dag, index + 1, plan, r)
 
         if flow is not None and flow["status"] != "OPEN":
             self.tasks.clear()
-        elif folded is not None:
-            self.tasks.put(self._entries(self._fold(touched)))
-        elif touched:
-            self.tasks.appendList(self._entries(touched))
+            self.document.clear()
+        else:
+            for task_id, t in touched.items():
+                self.tasks.updateValue((task_id,), tuple(t[f] for f in _TASK_FIELDS))
+            if any(v is not None for v in document.values()):
+                self.document.update(tuple(document[f] for f in _DOCUMENT_FIELDS))
         if flow is not None:
-            self.flow.update(tuple(flow.values()))
+            self.flow.update(tuple(flow[f] for f in _FLOW_FIELDS))
         out += barrier.values()
         if out:
-            yield pd.DataFrame([[flow_id, *map(o.get, _COLUMNS[1:])] for o in out], columns=_COLUMNS, dtype=object)
-
-    @staticmethod
-    def _upsert(touched: dict[str, dict], r: dict, seq: int) -> None:
-        first = touched.get(r["task_flow_id"], {}).get("first_seq", seq)
-        row = {f: r.get(f) for f in _TASK_FIELDS} | {"first_seq": first, "batch_index": int(r["batch_index"])}
-        touched[r["task_flow_id"]] = row
-
-    @staticmethod
-    def _entries(tasks: dict[str, dict]) -> list[tuple]:
-        return [(task_id, *(t[f] for f in _TASK_FIELDS)) for task_id, t in tasks.items()]
-
-    def _fold(self, touched: dict[str, dict]) -> dict[str, dict]:
-        """Latest state per task with its first position, stored updates first."""
-        known: dict[str, dict] = {}
-        stored = ((v[0], dict(zip(_TASK_FIELDS, v[1:]))) for v in self.tasks.get())
-        for task_id, t in (*stored, *touched.items()):
-            known[task_id] = t | {"first_seq": known[task_id]["first_seq"]} if task_id in known else t
-        return known
-
-    @staticmethod
-    def _batch_rows(tasks: dict[str, dict], index: int) -> list[dict]:
-        return sorted((t for t in tasks.values() if t["batch_index"] == index), key=lambda t: t["first_seq"])
+            yield pd.DataFrame([[key[0], *map(o.get, _COLUMNS[1:])] for o in out], columns=_COLUMNS, dtype=object)
+
+    def _upsert(self, touched: dict[str, dict], r: dict, seq: int) -> None:
+        task_id = r["task_flow_id"]
+        if task_id in touched:
+            first = touched[task_id]["first_seq"]
+        else:
+            known = self.tasks.getValue((task_id,)) if self.tasks.exists() and self.tasks.containsKey((task_id,)) else None
+            first = known[0] if known else seq
+        touched[task_id] = {f: r.get(f) for f in _TASK_FIELDS} | {"first_seq": first, "batch_index": int(r["batch_index"])}
+
+    def _all_tasks(self, touched: dict[str, dict]) -> dict[str, dict]:
+        """Latest state per task; read where a batch closes or opens only."""
+        stored = self.tasks.iterator() if self.tasks.exists() else ()
+        return {k[0]: dict(zip(_TASK_FIELDS, v, strict=True)) for k, v in stored} | touched
 
     def close(self) -> None:
         pass
 
 
-def stream_flows(ledger: DataFrame, catalogue: Catalogue, expire: bool = True) -> DataFrame:
-    """Barrier and lifecycle changes of a streaming ledger. The catalogue's size was checked when it was built."""
-    totals = {(r.dag_key, r.batch_index): r.task_total for r in catalogue.batches.collect()}
-    mode, ttl = _clock(expire)
+def _results(tasks: dict[str, dict]) -> dict[str, str]:
+    """The result of the newest task per action among those completed."""
+    usable = [t for t in tasks.values() if t["status"] == "COMPLETED" and t["result_json"] is not None and t["action_name"] is not None]
+    return {t["action_name"]: t["result_json"] for t in sorted(usable, key=lambda t: t["first_seq"])}
+
+
+def stream_flows(ledger: DataFrame, catalogue: Catalogue, expire: bool = True, state_ms: int = STATE_DAYS * 86_400_000) -> DataFrame:
+    """Barrier, lifecycle and opening changes of a streaming ledger, joined with the catalogue as a static table."""
     return (
-        flow_inputs(ledger)
+        flow_inputs(ledger, catalogue)
         .groupBy("correlation_id")
         .transformWithStateInPandas(
-            statefulProcessor=FlowBarriers(totals, ttl),
+            statefulProcessor=FlowBarriers(state_ms if expire else None),
             outputStructType=CHANGES,
             outputMode="Append",
-            timeMode=mode,
+            timeMode="ProcessingTime" if expire else "None",
         )
     )
 
 
+def opened_batches(changes: DataFrame) -> DataFrame:
+    """Opened batches of the change rows in the shape ``batch_commands`` takes: with time, document and results by action."""
+    rows = changes.filter(c("kind") == "opened")
+    return with_document(rows).withColumn("results", F.from_json("results", "map<string,string>"))
+
+
 def barrier_table(changes: DataFrame) -> DataFrame:
     """Newest barrier row per (flow, batch)."""
     fields = [

@@ -7,13 +7,13 @@ from flowlens.operators.skew import CHUNK, chunk_of
 T0 = dt.datetime(2026, 1, 1)
 
 
-def brute(waiting, replies, days=7):
+def brute(waiting, replies, days=None):
     out = set()
     for txn, seq, at in replies:
         before = [w for w in waiting if w[0] == txn and w[1] <= seq]
         if before:
             w = max(before, key=lambda x: x[1])
-            if at <= w[2] + dt.timedelta(days=days):
+            if days is None or at <= w[2] + dt.timedelta(days=days):
                 out.add((txn, seq, w[1], w[3], w[4]))
     return out
 
@@ -44,6 +44,13 @@ def test_replies_find_the_latest_registration(spark):
         assert {tuple(r) for r in got} == brute(waiting, replies) and len(got) == len(set(got))
 
 
+def test_a_horizon_drops_old_registrations(spark):
+    waiting, replies = make(6)
+    got = N.correlate_replies(*frames(spark, waiting, replies, 50), horizon="7 days").collect()
+    want = brute(waiting, replies, days=7)
+    assert {tuple(r) for r in got} == want and len(want) < len(brute(waiting, replies))
+
+
 def test_no_pairs_are_formed(spark):
     plan = N.correlate_replies(*frames(spark, *make(3, 50), 10))._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
