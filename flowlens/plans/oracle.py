@@ -595,6 +595,31 @@ SELECT t.flow AS correlation_id, t.task AS task_flow_id, t.action AS action_name
   CAST(e.ts AS DATE) AS created_date
 FROM task_row t JOIN ev e ON e.seq = t.first_seq WHERE CAST(e.ts AS DATE) >= DATE '2024-01-30' - INTERVAL 20 DAYS"""
 
+_STORED = """
+kept AS (
+  SELECT x.*, o.ts AS opened_at, z.ts AS closed_at, CAST(o.ts AS DATE) AS day
+  FROM barrier x JOIN ev o ON o.seq = x.opened LEFT JOIN ev z ON z.seq = x.closed
+),
+asked_for AS (
+  SELECT DISTINCT flow, b FROM ev WHERE event_type = 'purchase'
+)"""
+
+ORACLE["barrier_table"] = _barriers() + "," + _STORED + """
+SELECT flow AS correlation_id, b AS batch_index, dag_key, total AS task_total, CAST(done AS INTEGER) AS task_completed,
+  CAST(bad AS INTEGER) AS task_failed, status, opened_at, closed_at, opened_at AS created_at, day AS created_date FROM kept"""
+
+ORACLE["barrier_recent_first"] = _barriers() + "," + _STORED + """
+SELECT k.flow AS correlation_id, k.b AS batch_index, status, day AS created_date,
+  CASE WHEN day >= DATE '2024-01-20' THEN 'recent' ELSE 'older' END AS phase
+FROM kept k JOIN asked_for a ON a.flow = k.flow AND a.b = k.b"""
+
+ORACLE["barrier_exists"] = _barriers() + "," + _STORED + """
+SELECT flow AS correlation_id, b AS batch_index, (flow, b) IN (SELECT (flow, b) FROM kept) AS there FROM asked_for"""
+
+ORACLE["flow_barriers"] = _barriers() + "," + _STORED + """
+SELECT flow AS correlation_id, b AS batch_index, status, opened AS opened_seq, day AS created_date FROM kept
+WHERE flow IN (SELECT flow FROM ev WHERE user_id % 7 = 0)"""
+
 ORACLE["result_characteristics"] = _with(_EV) + """,
 attr AS (
   SELECT seq, 0 AS pos, 'type' AS name, event_type AS value FROM raw
@@ -613,9 +638,24 @@ SELECT CAST(seq AS VARCHAR) AS event_id, seq AS arrival_seq, flow AS correlation
 
 ORACLE["stream_quarantine"] = ORACLE["quarantine_split"]
 ORACLE["stream_task_table"] = ORACLE["task_upsert_events"]
-ORACLE["stream_dedup"] = _with(_EV) + """
-SELECT CAST(seq AS VARCHAR) AS event_id, flow AS correlation_id, status FROM ev"""
-ORACLE["stream_signals"] = ORACLE["signals_correlated"]
+_ON_TIME = """
+newest AS (
+  SELECT max(ts) FILTER (day(ts) >= 16) AS most FROM ev
+),
+timed AS (
+  SELECT ev.*, day(ts) < 16 AND ts < most - INTERVAL 16 DAYS AS is_late FROM ev, newest
+)"""
+ORACLE["stream_dedup"] = _with(_EV, _ON_TIME) + """
+SELECT CAST(seq AS VARCHAR) AS event_id, flow AS correlation_id, status FROM timed WHERE NOT coalesce(is_late, FALSE)"""
+ORACLE["stream_late"] = _with(_EV, _ON_TIME) + """
+SELECT CAST(seq AS VARCHAR) AS event_id, flow AS correlation_id, CAST(2 AS BIGINT) AS deliveries FROM timed WHERE is_late"""
+ORACLE["stream_signals"] = _with(_EV, _SIGNALS) + """,
+pick AS (
+  SELECT r.txn, r.seq AS reply_seq, w.seq AS waiting_seq, w.flow, w.task,
+    row_number() OVER (PARTITION BY r.seq ORDER BY w.seq DESC NULLS LAST) AS back
+  FROM reply r LEFT JOIN waiting w ON w.txn = r.txn AND w.seq <= r.seq AND w.ts <= r.ts WHERE r.txn IS NOT NULL
+)
+SELECT txn AS transaction_id, reply_seq, waiting_seq, flow AS correlation_id, task AS task_flow_id FROM pick WHERE back = 1"""
 ORACLE["stream_barriers"] = ORACLE["barrier_lifecycle"]
 ORACLE["stream_commands"] = ORACLE["batch_commands"]
 ORACLE["stream_lifecycle"] = ORACLE["lifecycle_rows"]

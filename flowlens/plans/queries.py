@@ -669,6 +669,54 @@ def retained_rows(spark: SparkSession, sf: str) -> DataFrame:
     return kept.select("correlation_id", "task_flow_id", "action_name", "batch_index", "status", tables.DAY)
 
 
+BARRIER_DAY = dt.date(2024, 1, 20)
+
+
+def stored_barriers(spark: SparkSession, sf: str) -> str:
+    """The barrier table of the event log in its day partitions; the folder."""
+    log, barriers, _ = event_parts(spark, sf)
+    path = fresh_dir(spark, "barriers")
+    tables.write_barriers(B.with_times(barriers, log), path)
+    return path
+
+
+def barrier_table(spark: SparkSession, sf: str) -> DataFrame:
+    return tables.read_days(spark, stored_barriers(spark, sf)).select(
+        "correlation_id", "batch_index", "dag_key", "task_total", "task_completed", "task_failed", "status", "opened_at",
+        "closed_at", "created_at", tables.DAY,
+    )
+
+
+def barrier_keys(spark: SparkSession, sf: str) -> DataFrame:
+    """(flow, batch) pairs somebody asks for: those that purchases of the log name, and some that never were."""
+    rows = A.shape_events(A.table(spark, sf, "events").filter(c("event_type") == "purchase"))
+    return rows.select("correlation_id", c("batch.index").alias("batch_index")).distinct()
+
+
+def barrier_recent_first(spark: SparkSession, sf: str) -> DataFrame:
+    path = stored_barriers(spark, sf)
+    found = tables.recent_first_days(
+        barrier_keys(spark, sf), tables.read_days(spark, path), ["correlation_id", "batch_index"],
+        tables.partition_days(spark, path), BARRIER_DAY,
+    )
+    return found.select("correlation_id", "batch_index", "status", tables.DAY, "phase")
+
+
+def barrier_exists(spark: SparkSession, sf: str) -> DataFrame:
+    path = stored_barriers(spark, sf)
+    keys, on = barrier_keys(spark, sf), ["correlation_id", "batch_index"]
+    found = tables.recent_first_days(keys, tables.read_days(spark, path).select(*on, tables.DAY), on, tables.partition_days(spark, path), BARRIER_DAY)
+    there = found.select(*on).distinct().withColumn("there", F.lit(True))
+    return keys.join(there, on, "left").select(*on, F.coalesce("there", F.lit(False)).alias("there"))
+
+
+def flow_barriers(spark: SparkSession, sf: str) -> DataFrame:
+    """All barriers of the flows of every seventh user, across all days."""
+    flows = A.shape_events(A.table(spark, sf, "events").filter("user_id % 7 = 0")).select("correlation_id").distinct()
+    rows = tables.read_days(spark, stored_barriers(spark, sf))
+    return tables.of_flows(rows, flows).select("correlation_id", "batch_index", "status", "opened_seq", tables.DAY)
+
+
 def result_characteristics(spark: SparkSession, sf: str) -> DataFrame:
     """Result maps of events as attribute rows in order."""
     values = F.create_map(
@@ -700,6 +748,7 @@ BATCH_QUERIES = {
         resolved_actions, dcx_membership, missing_required, registry_audit, registry_snapshot, batch_commands,
         dependency_results, missing_dependencies, lifecycle_rows, catalogue_steps, initiations_from_notifications,
         signals_from_notifications, signals_correlated, recent_first_lookup, existing_rows, flow_rows, retained_rows,
+        barrier_table, barrier_recent_first, barrier_exists, flow_barriers,
         result_characteristics, dedup_events,
     )
 }

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import datetime as dt
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowlens import schemas as S
@@ -11,6 +13,7 @@ from flowlens.operators.storage import fresh_dir
 from flowlens.plans import queries as Q
 from flowlens.sources import adapters as A
 from flowlens.sources import envelopes as E
+from flowlens.sources.tables import FirstDeliveries
 from flowlens.streaming import runs, stateful
 
 c = F.col
@@ -34,27 +37,66 @@ def stream_quarantine(spark: SparkSession, sf: str) -> DataFrame:
     return runs.drain_to_table(Q.split_outcome(E.mark_envelopes(raw)))
 
 
+def event_parts(spark: SparkSession, sf: str, order: Column, parts: int) -> DataFrame:
+    """The event table as files in the order of ``order`` (0 to parts - 1), one file per micro-batch."""
+    path = fresh_dir(spark, "event-parts")
+    events = A.table(spark, sf, "events")
+    for n in range(parts):
+        events.filter(order == n).coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def in_arrival_order(spark: SparkSession, sf: str, parts: int = 5) -> DataFrame:
+    most = A.table(spark, sf, "events").agg(F.max("event_id")).first()[0] or 0
+    return event_parts(spark, sf, F.expr(f"event_id * {parts} div {most + 1}"), parts)
+
+
 def stream_task_table(spark: SparkSession, sf: str) -> DataFrame:
-    table = runs.drain_task_table(spark, E.ledger(A.shape_events(event_stream(spark, sf))))
+    """Five micro-batches into the day table, merged every second time, then read."""
+    table = runs.drain_day_table(spark, E.ledger(A.shape_events(in_arrival_order(spark, sf))))
     return table.rows().select(
         "correlation_id", "task_flow_id", "action_name", "action_code", "batch_index", "status", "result_json",
         "error_json", "first_seq", "last_seq",
     )
 
 
+LATE_AFTER = dt.timedelta(days=16)
+
+
+def deliveries(spark: SparkSession, sf: str) -> FirstDeliveries:
+    """The log delivered twice and out of order: days 16 on, days 1 to 12, then the
+    days between, of which some are within the delay and some beyond it."""
+    day = F.dayofmonth("ts")
+    part = F.when(day >= 16, 0).when(day <= 12, 1).otherwise(2)
+    one = A.shape_events(event_parts(spark, sf, part, 3)).select("event_id", "correlation_id", "status", "event_time")
+    twice = one.select(F.explode(F.array(F.struct("*"), F.struct("*"))).alias("e")).select("e.*")
+    return runs.drain_deliveries(twice, LATE_AFTER)
+
+
 def stream_dedup(spark: SparkSession, sf: str) -> DataFrame:
-    """The event stream delivered twice."""
-    one = A.shape_events(event_stream(spark, sf)).select("event_id", "correlation_id", "status", "event_time")
-    twice = one.unionByName(A.shape_events(event_stream(spark, sf)).select(*one.columns))
-    _stateful(spark)
-    kept = runs.first_in_watermark(twice.withColumn("event_time", c("event_time").cast("timestamp")), "40 days")
-    return runs.drain_to_table(kept.drop("event_time"))
+    return deliveries(spark, sf).rows().drop("event_time")
+
+
+def stream_late(spark: SparkSession, sf: str) -> DataFrame:
+    """Late records, each as often as it was delivered."""
+    late = deliveries(spark, sf).late()
+    return late.groupBy("event_id", "correlation_id").agg(F.count(F.lit(1)).alias("deliveries"))
 
 
 def stream_signals(spark: SparkSession, sf: str) -> DataFrame:
+    """Replies and registrations as two streams; records far ahead in time close both, so that lonely replies come out."""
     _stateful(spark)
+    after = F.make_interval(years=F.lit(2))
+
+    def closing(rows: DataFrame, name: str | None) -> DataFrame:
+        last = rows.filter(c("arrival_seq") % 10 == 0).withColumn("at", c("at") + after).withColumn(
+            "transaction_id", F.lit(name).cast("string"))
+        return rows.unionByName(last)
+
     waiting = Q.waiting_registrations(event_stream(spark, sf))
-    return runs.drain_to_table(stateful.stream_replies(waiting, Q.replies(event_stream(spark, sf)), expire=False))
+    replies = Q.replies(event_stream(spark, sf))
+    pairs = runs.drain_to_table(stateful.stream_replies(closing(waiting, "closing"), closing(replies, None)))
+    return stateful.newest_matches(pairs.filter(c("transaction_id").isNotNull()))
 
 
 def flow_changes(spark: SparkSession, sf: str) -> DataFrame:
@@ -98,6 +140,6 @@ def stream_lifecycle(spark: SparkSession, sf: str) -> DataFrame:
 
 STREAM_QUERIES = {
     f.__name__: f
-    for f in (stream_quarantine, stream_task_table, stream_dedup, stream_signals, stream_barriers, stream_commands,
+    for f in (stream_quarantine, stream_task_table, stream_dedup, stream_late, stream_signals, stream_barriers, stream_commands,
               stream_lifecycle)
 }

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from flowlens.operators.routing import is_auditable
 from flowlens.operators.storage import fresh_dir
-from flowlens.sources.tables import TaskTable
+from flowlens.sources.tables import DayTable, FirstDeliveries, TaskTable
 
 
 def start_to_files(rows: DataFrame, path: str, checkpoint: str, once: bool = True) -> StreamingQuery:
@@ -26,7 +28,7 @@ def drain_to_table(rows: DataFrame) -> DataFrame:
     return spark.read.schema(rows.schema).parquet(f"{path}/out")
 
 
-def start_task_table(ledger: DataFrame, table: TaskTable, checkpoint: str) -> StreamingQuery:
+def start_task_table(ledger: DataFrame, table: TaskTable | DayTable, checkpoint: str) -> StreamingQuery:
     """Task rows from a stream: every micro-batch is collapsed and stored as one replaceable delta."""
 
     def store(batch: DataFrame, batch_id: int) -> None:
@@ -48,6 +50,26 @@ def drain_task_table(spark: SparkSession, ledger: DataFrame) -> TaskTable:
     return table
 
 
+def drain_day_table(spark: SparkSession, ledger: DataFrame, every: int = 2) -> DayTable:
+    path = fresh_dir(spark, "day-table")
+    table = DayTable(spark, f"{path}/table", every)
+    start_task_table(ledger, table, f"{path}/checkpoint").awaitTermination()
+    return table
+
+
+def drain_deliveries(envelopes: DataFrame, delay: dt.timedelta) -> FirstDeliveries:
+    """First deliveries of a stream of (event_id, event_time, …), and its late records aside."""
+    spark = envelopes.sparkSession
+    path = fresh_dir(spark, "deliveries")
+    schema = ", ".join(
+        f"{f.name} {'timestamp_ntz' if f.name == 'event_time' else f.dataType.simpleString()}" for f in envelopes.schema
+    )
+    table = FirstDeliveries(spark, f"{path}/table", schema, delay)
+    writer = envelopes.writeStream.foreachBatch(table.apply).option("checkpointLocation", f"{path}/checkpoint")
+    writer.trigger(availableNow=True).start().awaitTermination()
+    return table
+
+
 def first_in_watermark(envelopes: DataFrame, delay: str = "7 days") -> DataFrame:
     """Streaming dedup on the event id; an id is remembered until the watermark has passed its first copy."""
     return envelopes.withWatermark("event_time", delay).dropDuplicatesWithinWatermark(["event_id"])

@@ -1,4 +1,4 @@
-"""Keyed stateful operators: barriers per flow, and replies per transaction id.
+"""Keyed stateful operators: barriers per flow, and replies joined with registrations.
 
 State lives in the RocksDB state store, one flow (or id) at a time. A flow's rows within one micro-batch are put in
 arrival order here; across micro-batches the source must keep each key's order, as a keyed topic does. What one call
@@ -29,9 +29,6 @@ c = F.col
 STATE_DAYS = 60
 
 
-def _clock(expire: bool) -> tuple[str, int | None]:
-    return ("ProcessingTime", STATE_DAYS * 86_400_000) if expire else ("None", None)
-
 CHANGES = (
     "correlation_id string, kind string, seq long, emit_pos int, batch_index int, dag_key string, task_total int,"
     "task_completed int, task_failed int, opened_seq long, closed_seq long, status string, kickout string,"
@@ -299,55 +296,28 @@ def barrier_table(changes: DataFrame) -> DataFrame:
     )
 
 
-MATCHES = "transaction_id string, reply_seq long, waiting_seq long, correlation_id string, task_flow_id string"
-_WAITING = "seq long, at timestamp, correlation_id string, task_flow_id string"
-
-
-class ReplyMatcher(StatefulProcessor):
-    """Remembers the newest registration of a transaction id and answers replies, within the horizon if there is one."""
-
-    def __init__(self, horizon_days: int | None, ttl_ms: int | None):
-        self.horizon = None if horizon_days is None else pd.Timedelta(days=horizon_days)
-        self.ttl_ms = ttl_ms
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.waiting = handle.getValueState("waiting", _WAITING, self.ttl_ms)
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        held = self.waiting.get()
-        fresh = False
-        out = []
-        for r in _ordered(rows):
-            at = pd.Timestamp(r["at"]).tz_localize(None)
-            if r["is_waiting"]:
-                held = (int(r["arrival_seq"]), at.to_pydatetime(), r["correlation_id"], r["task_flow_id"])
-                fresh = True
-            elif held is not None and (
-                self.horizon is None or at <= pd.Timestamp(held[1]).tz_localize(None) + self.horizon
-            ):
-                out.append((key[0], int(r["arrival_seq"]), held[0], held[2], held[3]))
-        if fresh:
-            self.waiting.update(held)
-        if out:
-            yield pd.DataFrame(out, columns=[f.strip().split(" ")[0] for f in MATCHES.split(",")])
-
-    def close(self) -> None:
-        pass
+def stream_replies(waiting: DataFrame, replies: DataFrame, horizon: str = "60 days", delay: str = "1 day") -> DataFrame:
+    """Every reply with each registration of its transaction id up to ``horizon`` before it, over two streams of the same log.
 
-
-def stream_replies(waiting: DataFrame, replies: DataFrame, horizon_days: int | None = None, expire: bool = False) -> DataFrame:
-    """Replies matched to waiting tasks over two streams of the same log."""
-    none = F.lit(None).cast("string")
-    at = c("at").cast("timestamp").alias("at")
-    rows = waiting.select(
-        "transaction_id", "arrival_seq", at, "correlation_id", "task_flow_id", F.lit(True).alias("is_waiting")
-    ).unionByName(
-        replies.select(
-            "transaction_id", "arrival_seq", at, none.alias("correlation_id"), none.alias("task_flow_id"),
-            F.lit(False).alias("is_waiting"),
-        )
-    )
-    mode, ttl = _clock(expire)
-    return rows.groupBy("transaction_id").transformWithStateInPandas(
-        statefulProcessor=ReplyMatcher(horizon_days, ttl), outputStructType=MATCHES, outputMode="Append", timeMode=mode
+    A left outer join of two streams with watermarks and a time range: a reply waits for its registration until the watermark of
+    the registrations has passed it, and is then put out alone, with nulls. Registrations without an id are dropped before their watermark. So a reply may come before its registration is read, and none
+    vanishes. State is bounded by the horizon on the side of registrations, and by the delay on that of replies.
+    """
+    left = replies.select(
+        c("transaction_id"), c("arrival_seq").alias("reply_seq"), c("at").cast("timestamp").alias("reply_at")
+    ).withWatermark("reply_at", delay)
+    right = waiting.select(
+        c("transaction_id").alias("_txn"), c("arrival_seq").alias("waiting_seq"), c("at").cast("timestamp").alias("waiting_at"),
+        "correlation_id", "task_flow_id",
+    ).withWatermark("waiting_at", delay)
+    ranged = F.expr(f"waiting_at <= reply_at AND waiting_at >= reply_at - INTERVAL {horizon}")
+    earlier = c("waiting_seq") <= c("reply_seq")
+    return left.join(right, (c("transaction_id") == c("_txn")) & ranged & earlier, "left_outer").drop("_txn")
+
+
+def newest_matches(pairs: DataFrame) -> DataFrame:
+    """One row per reply: its newest registration, nulls where there was none."""
+    found = F.struct("waiting_seq", "correlation_id", "task_flow_id")
+    return pairs.groupBy("transaction_id", "reply_seq").agg(F.max_by(found, "waiting_seq").alias("_m")).select(
+        "transaction_id", "reply_seq", "_m.*"
     )

@@ -62,3 +62,17 @@ def test_task_table_counts_a_replayed_batch_once(spark, tmp_path):
     assert seen(compacted) == want
     compacted.publish(str(tmp_path / "days"))
     assert tables.read_days(spark, str(tmp_path / "days")).filter(F.col("status") == "COMPLETED").count() == 2
+
+
+def test_barrier_lookups_read_the_partitions_they_need(spark, tmp_path):
+    path = str(tmp_path / "b")
+    tables.write_days(dated(spark, [0, 1, 2, 2]), path)
+    days = tables.partition_days(spark, path)
+    assert days == [DAY0 + dt.timedelta(days=d) for d in (0, 1, 2)]
+    keys = spark.createDataFrame([("f0", "t0"), ("f2", "t2"), ("f9", "t9")], "correlation_id string, task_flow_id string")
+    on, today = ["correlation_id", "task_flow_id"], DAY0 + dt.timedelta(days=2)
+    found = tables.recent_first_days(keys, tables.read_days(spark, path), on, days, today)
+    assert {r.task_flow_id: r.phase for r in found.collect()} == {"t0": "older", "t2": "recent"}
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    scans = [line for line in plan.splitlines() if "PartitionFilters" in line]
+    assert scans and all("PartitionFilters: [isnotnull(created_date" in x or "created_date" in x.split("PartitionFilters: [")[1][:60] for x in scans)
