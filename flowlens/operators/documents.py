@@ -35,25 +35,38 @@ def task_refs(events: DataFrame) -> DataFrame:
     )
 
 
-def merged_refs(existing: DataFrame, new: DataFrame, fields: list[str]) -> DataFrame:
+def merged_refs(existing: DataFrame, new: DataFrame, fields: list[str], keys: tuple[str, ...] = ("correlation_id",)) -> DataFrame:
     """Reference lists in row form: (correlation_id, pos, id, fields…).
 
     ``existing`` holds (correlation_id, pos, id, fields…) and stays first, in order. A new id is appended once, at
     its first arrival, unless it exists already. Row form keeps a flow with any number of tasks spread over tasks;
-    nothing collects a flow's list into one value.
+    nothing collects a flow's list into one value. With ``keys`` of (flow, list) several lists are merged in the same
+    pass, each against its own entries.
     """
     first = (
-        new.groupBy("correlation_id", "id")
+        new.groupBy(*keys, "id")
         .agg(F.min(F.struct("arrival_seq", CHUNK, *fields)).alias("_r"))
-        .select("correlation_id", "id", "_r.*")
+        .select(*keys, "id", "_r.*")
     )
-    known = existing.select("correlation_id", "id").distinct()
-    added = first.join(known, ["correlation_id", "id"], "left_anti")
-    sizes = existing.groupBy("correlation_id").agg(F.max("pos").alias("_start"))
-    appended = number_rows(added, ["correlation_id"], ["arrival_seq"], "pos", sizes).select(
-        "correlation_id", "pos", "id", *fields
-    )
-    return existing.select("correlation_id", c("pos").cast("long"), "id", *fields).unionByName(appended)
+    known = existing.select(*keys, "id").distinct()
+    added = first.join(known, [*keys, "id"], "left_anti")
+    sizes = existing.groupBy(*keys).agg(F.max("pos").alias("_start"))
+    appended = number_rows(added, list(keys), ["arrival_seq"], "pos", sizes).select(*keys, "pos", "id", *fields)
+    return existing.select(*keys, c("pos").cast("long"), "id", *fields).unionByName(appended)
+
+
+#: The two lists of a flow document that refer to its tasks.
+RELATED, TASK_FLOW = "relatedEntity", "taskFlow"
+
+
+def both_lists(refs: DataFrame) -> DataFrame:
+    """Each reference for both lists, (…, list, id, href, referred_type): ``taskFlow`` names the action as the referred type."""
+    entry = F.explode(F.array(
+        F.struct(F.lit(RELATED).alias("list"), c("referred_type").alias("referred_type")),
+        F.struct(F.lit(TASK_FLOW).alias("list"), c("flow_ref_type").alias("referred_type")),
+    ))
+    return refs.select("correlation_id", CHUNK, "arrival_seq", "id", "href", entry.alias("_e")).select(
+        "correlation_id", CHUNK, "arrival_seq", "id", "href", "_e.*")
 
 
 def explode_refs(documents: DataFrame, array: str, fields: dict[str, str]) -> DataFrame:

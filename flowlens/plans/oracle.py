@@ -336,6 +336,14 @@ SELECT seq AS arrival_seq, CASE WHEN ok THEN 'good' ELSE 'quarantine' END AS out
   CASE WHEN ok AND NOT is_start THEN b END AS batch_index
 FROM judged"""
 
+ORACLE["quarantine_provenance"] = _with(_EV) + """,
+typed AS (
+  SELECT seq, CASE WHEN seq % 13 = 0 THEN 'DONE' ELSE status END AS sent_status FROM ev WHERE seq % 19 <> 0
+)
+SELECT 'flow-events' AS topic, seq % 8 AS "partition", seq // 8 AS "offset", CAST(seq % 100 AS VARCHAR) AS key,
+  CASE WHEN seq % 17 = 0 THEN 2 WHEN seq % 11 = 0 THEN 40 END AS text_length, CASE WHEN seq % 5 = 0 THEN 2 ELSE 1 END AS deliveries
+FROM typed WHERE seq % 17 = 0 OR seq % 11 = 0 OR sent_status = 'DONE'"""
+
 ORACLE["body_verdicts"] = _with(_EV, _VERDICT_TEXT) + """
 SELECT seq AS arrival_seq, parsed, body_status, status_code, change_reason FROM verdict WHERE NOT is_start"""
 
@@ -431,6 +439,29 @@ UNION ALL
 SELECT flow, n + CASE WHEN EXISTS (SELECT 1 FROM old WHERE old.flow = f.flow) THEN 1 ELSE 0 END, id,
   concat('/taskFlow/', id), action, 'TaskFlow', 'RelatedEntity', 'TaskFlow', action FROM fresh f"""
 
+ORACLE["task_flow_refs"] = _with(_LINES) + """,
+ref AS (
+  SELECT flow, task AS id, moved_at, l_partkey, l_suppkey, l_extendedprice, action,
+    row_number() OVER (PARTITION BY flow, task ORDER BY moved_at, l_partkey, l_suppkey, l_extendedprice) AS k
+  FROM ln WHERE status IN ('COMPLETED', 'FAILED') AND l_partkey % 5 NOT IN (0, 1)
+),
+old AS (
+  SELECT CAST(o_orderkey AS VARCHAR) AS flow, CASE o_orderstatus WHEN 'F' THEN 'relatedEntity' ELSE 'taskFlow' END AS list,
+    concat(o_orderkey, CASE o_orderstatus WHEN 'F' THEN '-1' ELSE '-2' END) AS id FROM orders WHERE o_orderstatus IN ('F', 'O')
+),
+wanted AS (
+  SELECT r.*, list, CASE list WHEN 'taskFlow' THEN action ELSE 'TaskFlow' END AS kind
+  FROM ref r, (VALUES ('relatedEntity'), ('taskFlow')) v(list) WHERE k = 1
+),
+fresh AS (
+  SELECT w.*, row_number() OVER (PARTITION BY flow, list ORDER BY moved_at, l_partkey, l_suppkey, l_extendedprice) AS n
+  FROM wanted w WHERE NOT EXISTS (SELECT 1 FROM old o WHERE o.flow = w.flow AND o.list = w.list AND o.id = w.id)
+)
+SELECT flow AS correlation_id, list, CAST(1 AS BIGINT) AS pos, id, '/old' AS href, 'old' AS referred_type FROM old
+UNION ALL
+SELECT flow, list, n + CASE WHEN EXISTS (SELECT 1 FROM old o WHERE o.flow = f.flow AND o.list = f.list) THEN 1 ELSE 0 END, id,
+  concat('/taskFlow/', id), kind FROM fresh f"""
+
 ORACLE["flow_document"] = """
 WITH p AS (
   SELECT o_orderkey AS id, 0 AS n, 'initial' AS state, NULL AS href, o_orderpriority AS spec,

@@ -107,6 +107,18 @@ def quarantine_split(spark: SparkSession, sf: str) -> DataFrame:
     return split_outcome(E.mark_envelopes(raw_event_log(spark, sf)))
 
 
+def quarantine_provenance(spark: SparkSession, sf: str) -> DataFrame:
+    """The raw log as records of a topic with eight partitions, every fifth one delivered twice; the unreadable ones."""
+    seq = c("arrival_seq")
+    log = raw_event_log(spark, sf).select(
+        F.lit("flow-events").alias("topic"), (seq % 8).alias("partition"), F.expr("arrival_seq div 8").alias("offset"),
+        (seq % 100).cast("string").alias("key"), "value", F.explode(F.sequence(F.lit(1), F.when(seq % 5 == 0, 2).otherwise(1))).alias("delivery"),
+    )
+    marked = E.mark_envelopes(log, keep=(*E.POSITION, "key"))
+    size = F.length("raw_value")  # of a whole record it follows from the writer; only the cut ones are told
+    return E.quarantine_records(marked).select(*E.POSITION, "key", F.when(size <= 40, size).alias("text_length"), "deliveries")
+
+
 def split_outcome(marked: DataFrame) -> DataFrame:
     """Both sides of the split in one pass; fields of unreadable records are blanked."""
     ok = c("readable")
@@ -311,6 +323,19 @@ def task_refs(spark: SparkSession, sf: str) -> DataFrame:
     return D.merged_refs(existing, D.task_refs(line_ledger(spark, sf)), REF_FIELDS)
 
 
+def task_flow_refs(spark: SparkSession, sf: str) -> DataFrame:
+    """Line updates' references merged into both lists of a document, of which one may hold an id that the other lacks."""
+    key = c("o_orderkey").cast("string")
+    entry = F.when(c("o_orderstatus") == "F", F.struct(F.lit(D.RELATED).alias("list"), F.lit("-1").alias("n"))).when(
+        c("o_orderstatus") == "O", F.struct(F.lit(D.TASK_FLOW).alias("list"), F.lit("-2").alias("n")))
+    existing = A.table(spark, sf, "orders").withColumn("_e", entry).filter(c("_e").isNotNull()).select(
+        key.alias("correlation_id"), c("_e.list").alias("list"), F.lit(1).cast("long").alias("pos"),
+        F.concat(key, c("_e.n")).alias("id"), F.lit("/old").alias("href"), F.lit("old").alias("referred_type"),
+    )
+    new = D.both_lists(D.task_refs(line_ledger(spark, sf)))
+    return D.merged_refs(existing, new, ["href", "referred_type"], ("correlation_id", "list"))
+
+
 def line_patches(spark: SparkSession, sf: str) -> DataFrame:
     """One patch per order (first) and per line, with some fields absent."""
     none = F.lit(None).cast("string")
@@ -741,10 +766,10 @@ def dedup_events(spark: SparkSession, sf: str) -> DataFrame:
 BATCH_QUERIES = {
     f.__name__: f
     for f in (
-        route_envelopes, message_inventory, message_listing, conformance_report, quarantine_split, body_verdicts,
+        route_envelopes, message_inventory, message_listing, conformance_report, quarantine_split, quarantine_provenance, body_verdicts,
         valid_initiations, task_event_class, task_upsert, task_upsert_events, waiting_tasks, latest_results,
         barrier_counts, barrier_lifecycle, verify_listing, task_listing, flow_outcome, final_state, final_patch,
-        state_patches, task_refs, flow_document, appended_related, action_lookup, reverse_lookup, dcx_lookup,
+        state_patches, task_refs, task_flow_refs, flow_document, appended_related, action_lookup, reverse_lookup, dcx_lookup,
         resolved_actions, dcx_membership, missing_required, registry_audit, registry_snapshot, batch_commands,
         dependency_results, missing_dependencies, lifecycle_rows, catalogue_steps, initiations_from_notifications,
         signals_from_notifications, signals_correlated, recent_first_lookup, existing_rows, flow_rows, retained_rows,

@@ -102,6 +102,18 @@ def split_envelopes(marked: DataFrame, keep: tuple[str, ...] = ("arrival_seq",))
     return Split(good, marked.filter("not readable").select(*keep, "raw_value"))
 
 
+POSITION = ("topic", "partition", "offset")
+
+
+def quarantine_records(marked: DataFrame, position: tuple[str, ...] = POSITION) -> DataFrame:
+    """Each unreadable record once, however often it was delivered: its position in the source, its key and its text.
+
+    ``marked`` keeps ``position`` and ``key``. Only the unreadable records are compared with each other.
+    """
+    bad = marked.filter("not readable")
+    return bad.groupBy(*position).agg(F.first("key").alias("key"), F.first("raw_value").alias("raw_value"), F.count(F.lit(1)).alias("deliveries"))
+
+
 def decode_envelopes(raw: DataFrame, value: str = "value", keep: tuple[str, ...] = ("arrival_seq",)) -> Split:
     """Typed envelopes and, apart from them, each unreadable record once with its position columns."""
     return split_envelopes(mark_envelopes(raw, value, keep), keep)

@@ -16,7 +16,9 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="test tables are n
 QUICK = [
     "route_envelopes", "conformance_report", "quarantine_split", "body_verdicts", "task_upsert", "barrier_lifecycle", "final_patch",
     "task_refs", "flow_document", "action_lookup", "dcx_lookup", "registry_snapshot", "batch_commands", "lifecycle_rows",
-    "signals_correlated", "recent_first_lookup", "retained_rows", "stream_task_table", "stream_barriers",
+    "signals_correlated", "recent_first_lookup", "retained_rows", "stream_task_table", "stream_barriers", "stream_commands",
+    "stream_signals", "stream_late", "stream_dedup", "quarantine_provenance", "task_flow_refs", "barrier_table", "barrier_recent_first",
+    "barrier_exists", "flow_barriers",
 ]
 
 
