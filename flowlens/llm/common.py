@@ -13,6 +13,7 @@ from pyspark.sql.types import StructType
 SLICE_BYTES = 1 << 20
 BATCH_ROWS = 2000
 _BATCH_CONF = "spark.sql.execution.arrow.maxRecordsPerBatch"
+_OURS = "flowlens.arrow.rows"
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _BASE = np.uint64(0xD6E8FEB86659FD93)
 _SPACE = np.zeros(256, bool)
@@ -37,17 +38,18 @@ def spread(spark: SparkSession, least: int = 1) -> int:
     return max(least, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Hold this session's Arrow batches to rows that are few enough for long texts; a lower setting stays."""
-    now = int(spark.conf.get(_BATCH_CONF))
-    if not 0 < now <= BATCH_ROWS:
-        spark.conf.set(_BATCH_CONF, str(BATCH_ROWS))
+def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
+    """Hold this session's Arrow batches to rows that are few enough for long texts; a setting of the caller's own stays."""
+    if spark.conf.get(_BATCH_CONF) in ("10000", spark.conf.get(_OURS, "10000")):
+        spark.conf.set(_BATCH_CONF, str(rows))
+        spark.conf.set(_OURS, str(rows))
 
 
 def arrow_map(
-    df: DataFrame, schema: str | StructType, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], most: int = SLICE_BYTES
+    df: DataFrame, schema: str | StructType, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], most: int = SLICE_BYTES,
+    rows: int = BATCH_ROWS,
 ) -> DataFrame:
-    """``fn`` on every Arrow batch, cut into slices so that one slice holds few bytes of text at a time."""
+    """``fn`` on every Arrow batch of at most ``rows``, cut into slices so that one slice holds few bytes of text at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -56,7 +58,7 @@ def arrow_map(
                 if made is not None:
                     yield made
 
-    small_batches(df.sparkSession)
+    small_batches(df.sparkSession, rows)
     return df.mapInArrow(run, schema)
 
 

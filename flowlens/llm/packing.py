@@ -32,6 +32,7 @@ VOCABULARY = "word_bpe_49k.json"
 CACHE_WORDS = 200_000
 JOIN_WORDS = 512
 SLICE_BYTES = 8 << 20
+SLICE_ROWS = 6000
 _PLAIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+[.,]?")
 
 
@@ -129,7 +130,7 @@ def token_pieces(docs: DataFrame, vocabulary: str = VOCABULARY, size: int = SIZE
             names=["doc_id", "start", "length", "ids", "doc_tokens"],
         )
 
-    return arrow_map(texts(docs), "doc_id long, start long, length long, ids binary, doc_tokens long", run, SLICE_BYTES)
+    return arrow_map(texts(docs), "doc_id long, start long, length long, ids binary, doc_tokens long", run, SLICE_BYTES, SLICE_ROWS)
 
 
 @dataclass

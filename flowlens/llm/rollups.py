@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowlens.llm.common import arrow_map
-from flowlens.llm.packing import END_ID, SLICE_BYTES, VOCABULARY, encoder
+from flowlens.llm.packing import END_ID, SLICE_BYTES, SLICE_ROWS, VOCABULARY, encoder
 from flowlens.operators.storage import cut, fresh_dir
 
 KEYS = ["source", "lang", "tokenizer_version"]
@@ -37,7 +37,7 @@ def token_counts(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
         F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"),
         F.col("lang").cast("string").alias("lang"), F.coalesce("text", F.lit("")).alias("text"),
     )
-    counted = arrow_map(rows, "doc_id long, source string, lang string, tokens long", run, SLICE_BYTES)
+    counted = arrow_map(rows, "doc_id long, source string, lang string, tokens long", run, SLICE_BYTES, SLICE_ROWS)
     return counted.withColumn("tokenizer_version", F.lit(vocabulary))
 
 
