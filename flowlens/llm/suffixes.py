@@ -3,31 +3,35 @@
 Suffixes are retained at minimisers only: of every ``least - k + 1`` consecutive k-word grams the one with the smallest hash, so the
 choice depends on the words alone and any passage of ``least`` words keeps a suffix in each place where it occurs. Suffixes
 whose first k words occur in one text only drop out. The others, with the words on either side of the gram, are sorted over the
-cluster; each is compared with its nearest neighbours from other texts, in the order to the right and to the left, and the match is extended right and left, as far as the
-next retained suffix can be away. Matches of ``least`` words or more, joined where they touch, are the passages.
-
-Ranges are cut within equal suffixes by a hash of the text, so a passage that a third of all documents hold is spread; the rows at
-range borders are compared once more across the border. Texts are told apart by a 64-bit hash; copies of one text are one entry,
-and a text of ``least`` words with copies is a passage as a whole.
+cluster by gram. Two texts that share ``least`` words share one of their retained grams with m words before it and the rest behind
+it, for some m. So the suffixes are sorted once for each m, by the m words to the left and the ``least - k - m`` to the right: equal
+ones are neighbours, however many others share the gram and one of its sides. Neighbours from other texts are compared word by word
+and the match is extended right and left, as far as the next retained suffix can be away. Matches, joined where they touch, are
+the passages; none is missed.
+
+Ranges are cut within a gram by a hash of the text, so a passage that a third of all documents hold is spread. Where a gram may go
+on in another range, each range hands over one row for a stretch that two of its texts share, and the places of a stretch
+that it saw in one text only; an aggregation over these finds what ranges share. Texts are told apart by a 64-bit hash; copies
+of one text are one entry, and a text of ``least`` words with copies is a passage as a whole.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass, fields
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from flowlens.llm.common import Words, arrow_map, mixed, spread, texts
+from flowlens.llm.common import Words, arrow_map, mixed, small_batches, spread, texts, utf8
 from flowlens.operators.storage import cut
 
 LEAST = 50
 GRAM = 12
-NEAR = 16
+HELD_ROWS = 32_768
 _STEP = np.uint64(0x9FB21C651E98DF25)
 
 
@@ -110,116 +114,154 @@ def contexts(chosen: DataFrame, least: int = LEAST, k: int = GRAM) -> DataFrame:
     return arrow_map(chosen, schema, run)
 
 
-class Sides:
-    """The words on both sides of each row's gram, as matrices."""
+@dataclass
+class Suffixes:
+    """Rows of ``contexts`` as arrays, sorted by gram; ``left`` and ``right`` have a line of word hashes per row."""
+
+    key: np.ndarray
+    text_hash: np.ndarray
+    pos: np.ndarray
+    n_left: np.ndarray
+    n_right: np.ndarray
+    left: np.ndarray
+    right: np.ndarray
+
+    @staticmethod
+    def of(batch: pa.RecordBatch, reach: int) -> Suffixes:
+        plain = [batch.column(c).to_numpy() for c in ("key", "text_hash", "pos", "n_left", "n_right")]
+        return Suffixes(*plain, *(utf8(batch.column(c))[0].view("<u4").reshape(-1, reach) for c in ("left", "right")))
 
-    def __init__(self, rows: pd.DataFrame):
-        self.words = [np.frombuffer(b"".join(rows[c]), "<u4").reshape(len(rows), -1) for c in ("left", "right")]
-        self.there = [rows[f"n_{c}"].to_numpy().astype(np.int64) for c in ("left", "right")]
+    @staticmethod
+    def joined(parts: list[Suffixes]) -> Suffixes:
+        return Suffixes(*(np.concatenate([getattr(p, f.name) for p in parts]) for f in fields(Suffixes)))
+
+    def at(self, rows: np.ndarray | slice) -> Suffixes:
+        return Suffixes(*(getattr(self, f.name)[rows] for f in fields(self)))
 
     def extend(self, a: np.ndarray, b: np.ndarray) -> list[np.ndarray]:
         """How far the suffixes of rows a and b match to the left and to the right of their gram."""
         out = []
-        for words, there in zip(self.words, self.there, strict=True):
+        for words, there in ((self.left, self.n_left), (self.right, self.n_right)):
             same = words[a] == words[b]
             run = np.where(same.all(axis=1), same.shape[1], same.argmin(axis=1))
             out.append(np.minimum(run, np.minimum(there[a], there[b])))
         return out
 
-
-def meetings(text: np.ndarray, key: np.ndarray, near: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of places in a sorted order, same gram and different texts: up to ``near`` apart, and over a run of one text."""
-    for d in range(1, near + 1):
-        same = key[:-d] == key[d:]
-        if not same.any():
-            return
-        a = np.flatnonzero(same & (text[:-d] != text[d:]))
-        yield a, a + d
-    change = np.flatnonzero(text[1:] != text[:-1]) + 1
-    run = np.searchsorted(change, np.arange(len(text)), side="right")
-    for other in (np.concatenate(([0], change))[run] - 1, np.concatenate((change, [len(text)]))[run]):
-        a = np.flatnonzero((other >= 0) & (other < len(text)))
-        a = a[key[a] == key[other[a]]]
-        yield a, other[a]
-
-
-def neighbours(rows: pd.DataFrame, least: int, k: int, near: int = NEAR) -> pd.DataFrame:
-    """(text_hash, start, end, other), one row per sorted suffix: its matches with neighbours from other texts, together.
-
-    All matches of a suffix hold its gram, so together they are one passage. Neighbours are sought in the order of the words
-    to the right and in that of the words to the left.
+    def orders(self) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """For each m, from the middle outwards: (m, rows, hash, first, last).
+
+        ``rows`` are those with m words to the left of the gram and the rest to its right, sorted by the hash of gram and words
+        and then by text; ``first`` and ``last`` are the ends, in that order, of each one's run of equal hashes.
+        """
+        reach = self.left.shape[1]
+        sums = []
+        for words in (self.left, self.right):
+            run = np.zeros((reach + 1, len(self.key)), np.uint64)
+            for j in range(reach):
+                run[j + 1] = run[j] * _STEP + words[:, j] + np.uint64(1)
+            sums.append(run)
+        gram = mixed(self.key.view(np.uint64))
+        for m in sorted(range(reach + 1), key=lambda m: abs(2 * m - reach)):
+            rows = np.flatnonzero((self.n_left >= m) & (self.n_right >= reach - m))
+            if len(rows) == 0:
+                continue
+            h = mixed(mixed(sums[0][m, rows] + np.uint64(m)) * _STEP + mixed(sums[1][reach - m, rows]) + gram[rows])
+            order = np.lexsort((self.text_hash[rows], h))
+            rows, h = rows[order], h[order]
+            first = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
+            size = np.diff(np.concatenate((first, [len(h)])))
+            yield m, rows, h.view(np.int64), np.repeat(first, size), np.repeat(first + size - 1, size)
+
+
+_COMPARED = "text_hash long, start int, end int, other long, key long, h long"
+
+
+def _compared(*columns: np.ndarray | pa.Array | None) -> pa.RecordBatch:
+    n = len(columns[0])
+    types = {"int": pa.int32(), "long": pa.int64()}
+    named = [c.split() for c in _COMPARED.split(", ")]
+    arrays = [pa.nulls(n, types[t]) if c is None else pa.array(c).cast(types[t]) for (_, t), c in zip(named, columns, strict=True)]
+    return pa.RecordBatch.from_arrays(arrays, names=[name for name, _ in named])
+
+
+def neighbours(rows: Suffixes, least: int, k: int) -> pa.RecordBatch:
+    """(text_hash, start, end, other), one row per suffix that matches one of another text over ``least`` words.
+
+    All matches of a suffix hold its gram, so together they are one passage. A stretch that earlier matches cover is not
+    compared again.
     """
-    text, key, pos = (rows[c].to_numpy() for c in ("text_hash", "key", "pos"))
-    sides = Sides(rows)
-    reach = np.full((2, len(rows)), -1, np.int64)
-    other = np.full(len(rows), np.iinfo(np.int64).max)
-    backwards = np.lexsort((text, sides.words[1][:, 0], rows["left"].to_numpy().astype("S"), key))
-    for order in (np.arange(len(rows)), backwards):
-        for i, j in meetings(text[order], key[order], near):
-            a, b = order[i], order[j]
-            both = sides.extend(a, b)
-            good = both[0] + k + both[1] >= least
-            for x, y in ((a[good], b[good]), (b[good], a[good])):
-                for side in (0, 1):
-                    np.maximum.at(reach[side], x, both[side][good])
-                np.minimum.at(other, x, text[y])
+    reach = np.full((2, len(rows.key)), -1, np.int64)
+    other = np.full(len(rows.key), np.iinfo(np.int64).max)
+    for m, at, _, first, last in rows.orders():
+        text = rows.text_hash[at]
+        partner = np.where(text[first] != text, first, last)
+        due = (text[partner] != text) & ((reach[0, at] < m) | (reach[1, at] < least - k - m))
+        x, y = at[due], at[partner[due]]
+        both = rows.extend(x, y)
+        good = (rows.key[x] == rows.key[y]) & (both[0] + k + both[1] >= least)
+        x, y = x[good], y[good]
+        for side in (0, 1):
+            reach[side, x] = np.maximum(reach[side, x], both[side][good])
+        other[x] = np.minimum(other[x], rows.text_hash[y])
     hit = np.flatnonzero(reach[0] >= 0)
-    return pd.DataFrame({
-        "text_hash": text[hit], "start": pos[hit] - reach[0][hit], "end": pos[hit] + k + reach[1][hit], "other": other[hit],
-    })
+    pos = rows.pos[hit]
+    return _compared(rows.text_hash[hit], pos - reach[0, hit], pos + k + reach[1, hit], other[hit], None, None)
 
 
-_EDGE = ["key", "right", "left", "text_hash", "pos", "n_left", "n_right"]
-_COMPARED = (
-    "start int, end int, other long, part int, is_last boolean, key long, right binary, left binary, text_hash long, "
-    "pos int, n_left int, n_right int"
-)
+def handed_over(rows: Suffixes, least: int) -> Iterator[pa.RecordBatch]:
+    """Stretches of ``least`` words of one gram, for other ranges: one row without a place for each that two texts here share
+    (its places are matched already), all places of each that one text holds."""
+    for m, at, h, first, last in rows.orders():
+        text = rows.text_hash[at]
+        alone = text[first] == text[last]
+        picks = np.flatnonzero(alone | (first == np.arange(len(at))))
+        start = rows.pos[at[picks]] - m
+        hidden = ~alone[picks]
+        places = [pa.array(start + add, mask=hidden) for add in (0, least)]
+        yield _compared(text[picks], *places, None, rows.key[at[picks]], h[picks])
 
 
 def matches(around: DataFrame, least: int = LEAST, k: int = GRAM) -> DataFrame:
     """(text_hash, start, end, other) of all retained suffixes that match one of another text over ``least`` words."""
     spark = around.sparkSession
-    order = ["key", "right", "left", "salt", "text_hash", "pos"]
-    dealt = around.withColumn("salt", F.pmod(F.xxhash64("text_hash"), F.lit(1 << 16)))
-    dealt = dealt.repartitionByRange(spread(spark), *order).sortWithinPartitions(*order)
-    dealt = dealt.withColumn("part", F.spark_partition_id()).drop("salt")
-
-    def compare(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows = pd.concat([p for p in parts if len(p)] or [pd.DataFrame(columns=[*_EDGE, "part"])], ignore_index=True)
-        if len(rows) == 0:
-            return
-        out = neighbours(rows, least, k).assign(part=None, is_last=None)
-        yield out.reindex(columns=[c.split()[0] for c in _COMPARED.split(", ")])
-        text = rows["text_hash"].to_numpy()
-        other = np.flatnonzero(text != text[0])[:1].tolist()  # with the end rows, the nearest ones of another text
-        back = np.flatnonzero(text != text[-1])[-1:].tolist()
-        for is_last, picks in ((False, [0, *other]), (True, [len(rows) - 1, *back])):
-            yield rows.iloc[picks].assign(start=None, end=None, other=None, is_last=is_last).reindex(columns=out.columns.union(
-                rows.columns).union(["start", "end", "other"]))[[c.split()[0] for c in _COMPARED.split(", ")]]
-
-    compared = cut(dealt.mapInPandas(compare, _COMPARED))
-    inner = compared.where("is_last IS NULL").select("text_hash", "start", "end", "other")
-    edges = compared.where("is_last IS NOT NULL").select("part", "is_last", *_EDGE).toPandas()  # four rows a partition
-    if len(edges) == 0:
-        return inner
-    found = []
-    parts = sorted(edges["part"].unique())
-    for p, q in zip(parts, parts[1:], strict=False):
-        ends = edges[((edges["part"] == p) & edges["is_last"].astype(bool)) | ((edges["part"] == q) & ~edges["is_last"].astype(bool))]
-        ends = ends.reset_index(drop=True)
-        a, b = np.nonzero(
-            (ends["part"].to_numpy()[:, None] == p) & (ends["part"].to_numpy()[None] == q)
-            & (ends["key"].to_numpy()[:, None] == ends["key"].to_numpy()[None])
-            & (ends["text_hash"].to_numpy()[:, None] != ends["text_hash"].to_numpy()[None])
-        )
-        for i, j in ((a, b), (b, a)):
-            left, right = Sides(ends).extend(i, j)
-            for x, y, low, high in zip(i, j, left, right, strict=True):
-                if low + k + high >= least:
-                    found.append((int(ends["text_hash"][x]), int(ends["pos"][x] - low), int(ends["pos"][x] + k + high),
-                                  int(ends["text_hash"][y])))
-    border = spark.createDataFrame(found, "text_hash long, start int, end int, other long")
-    return inner.unionByName(border)
+    dealt = around.withColumn("salt", F.xxhash64("text_hash"))
+    dealt = dealt.repartitionByRange(spread(spark), "key", "salt").sortWithinPartitions("key").drop("salt")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Whole grams at a time, some ``HELD_ROWS`` rows or the rows that one gram has in this range."""
+        held: list[Suffixes] = []
+        many, opening = 0, True
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            held.append(Suffixes.of(batch, least - k))
+            many += batch.num_rows
+            if many < HELD_ROWS or held[0].key[0] == held[-1].key[-1]:
+                continue
+            rows = Suffixes.joined(held)
+            end = int(np.searchsorted(rows.key, rows.key[-1]))
+            done, held = rows.at(slice(0, end)), [rows.at(slice(end, None))]
+            many = len(rows.key) - end
+            yield neighbours(done, least, k)
+            if opening:
+                yield from handed_over(done.at(slice(0, int(np.searchsorted(done.key, done.key[0], side="right")))), least)
+                opening = False
+        if held:
+            done = Suffixes.joined(held)
+            yield neighbours(done, least, k)
+            ends = {done.key[-1], done.key[0]} if opening else {done.key[-1]}
+            for key in ends:
+                yield from handed_over(done.at(done.key == key), least)
+
+    small_batches(spark)
+    compared = cut(dealt.mapInArrow(compare, _COMPARED))
+    inner = compared.where("other IS NOT NULL").select("text_hash", "start", "end", "other")
+    border = compared.where("other IS NULL")
+    shared = border.groupBy("key", "h").agg(F.min("text_hash").alias("a"), F.max("text_hash").alias("b")).where("a <> b")
+    across = border.where("start IS NOT NULL").join(shared, ["key", "h"]).select(
+        "text_hash", "start", "end", F.expr("IF(a = text_hash, b, a)").alias("other")
+    )
+    return inner.unionByName(across)
 
 
 def passages(docs: DataFrame, least: int = LEAST, k: int = GRAM) -> DataFrame:
