@@ -107,15 +107,20 @@ def encoder(name: str) -> Encoder:
     return _encoders[name]
 
 
-def token_pieces(docs: DataFrame, vocabulary: str = VOCABULARY, size: int = SIZE, end_id: int = END_ID) -> DataFrame:
+def token_pieces(
+    docs: DataFrame, vocabulary: str = VOCABULARY, size: int = SIZE, end_id: int = END_ID, slice_bytes: int = SLICE_BYTES,
+    slice_rows: int = SLICE_ROWS,
+) -> DataFrame:
     """(doc_id, start, length, ids, doc_tokens): every document's ids and ``end_id``, cut into pieces of at most ``size``.
 
-    ``ids`` holds little-endian unsigned 32-bit numbers. A null or empty text is one piece of ``end_id`` alone.
+    ``ids`` holds little-endian unsigned 32-bit numbers. A null or empty text is one piece of ``end_id`` alone. Smaller slices
+    hold less memory and take more time, for fewer words are shared within one; the rows are the same.
     """
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
         if batch.num_rows == 0:
             return None
+        pa.default_memory_pool().release_unused()  # what the slice before took
         ids, ends = encoder(vocabulary).encode(batch.column(1), end_id)
         begins = np.concatenate(([0], ends[:-1]))
         totals = ends - begins
@@ -130,7 +135,7 @@ def token_pieces(docs: DataFrame, vocabulary: str = VOCABULARY, size: int = SIZE
             names=["doc_id", "start", "length", "ids", "doc_tokens"],
         )
 
-    return arrow_map(texts(docs), "doc_id long, start long, length long, ids binary, doc_tokens long", run, SLICE_BYTES, SLICE_ROWS)
+    return arrow_map(texts(docs), "doc_id long, start long, length long, ids binary, doc_tokens long", run, slice_bytes, slice_rows)
 
 
 @dataclass
@@ -270,8 +275,8 @@ def sequences(placed: DataFrame, size: int = SIZE, pad_id: int = 0) -> DataFrame
     return whole.select("sequence_id", "length", F.concat(F.unhex(hexed), pad).alias("ids"))
 
 
-def op5(docs: DataFrame) -> DataFrame:
+def op5(docs: DataFrame, slice_bytes: int = SLICE_BYTES, slice_rows: int = SLICE_ROWS) -> DataFrame:
     """Null and empty texts give one piece of one id; repeated rows are packed each; a null doc_id is kept; other columns
     are not read; an empty table gives no rows."""
-    pieces = cut(token_pieces(docs).withColumn("ids_crc32", F.crc32("ids")).drop("ids"))
+    pieces = cut(token_pieces(docs, slice_bytes=slice_bytes, slice_rows=slice_rows).withColumn("ids_crc32", F.crc32("ids")).drop("ids"))
     return place(pieces).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
