@@ -36,8 +36,8 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of token sequences of at most 2048 ids."""
-    return packing.op5(docs)
+    """Pieces of token sequences of at most 2048 ids; small slices, since executors still hold what earlier stages grew."""
+    return packing.op5(docs, slice_bytes=2 << 20, slice_rows=2000)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
