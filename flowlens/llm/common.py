@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -45,6 +46,14 @@ def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
         spark.conf.set(_OURS, str(rows))
 
 
+def give_back() -> None:
+    """Free memory of this Python worker returns to the system; it idles beside its executor until the next stage."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it, other C libraries need it less
+    if trim is not None:
+        trim(0)
+
+
 def arrow_map(
     df: DataFrame, schema: str | StructType, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], most: int = SLICE_BYTES,
     rows: int = BATCH_ROWS,
@@ -57,6 +66,7 @@ def arrow_map(
                 made = fn(part)
                 if made is not None:
                     yield made
+        give_back()
 
     small_batches(df.sparkSession, rows)
     return df.mapInArrow(run, schema)
