@@ -7,9 +7,12 @@ import time
 import zlib
 from collections import Counter, defaultdict
 
+import public_tokenizers
 import pytest
+from tokenizers import Tokenizer
 
-from flowlens.llm import decontamination, pii, prefixes, secrets, simhash, spelling, urls
+from flowlens.llm import decontamination, pii, prefixes, rollups, secrets, simhash, spelling, urls
+from flowlens.operators.storage import fresh_dir
 
 # ---- spelling variants ----------------------------------------------------------------------------------------
 
@@ -320,3 +323,38 @@ def test_a_passage_in_every_document_and_a_long_text(spark):
     got = decontamination.op3(documents(spark, rows + rows[:3]), bench).collect()
     assert {(r.doc_id, r.item_id, r.share, r.verbatim) for r in got} == {(d, i, 1.0, True) for d, _ in rows if d != 901 for i in (1, 2)}
     assert len(got) == 602
+
+
+def test_rollup_history_against_sums(spark):
+    """Inserts, revisions, deletes and versions, in any order and delivered again, come to the sums of what is left."""
+    rng = random.Random(21)
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    rows = [(i, rng.choice([None, "", "one", "two words", "three words, 12 dots..."]), rng.choice([None, "en", "de"]), "hot" if i % 3 else None)
+            for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+
+    def sums(rows, version="word_bpe_49k.json", extra=0):
+        want = {}
+        for _, text, lang, source in rows:
+            n, tokens = want.get((source, lang, version), (0, 0))
+            made = len(tokenizer.encode(text or "", add_special_tokens=False).ids)
+            want[source, lang, version] = (n + 1, tokens + made + extra)
+        return want
+
+    def found(totals):
+        return {tuple(r)[:3]: tuple(r)[3:] for r in totals.collect()}
+
+    assert found(rollups.op6(docs, 3)) == sums(rows)
+    assert found(rollups.op6(docs.limit(0), 2)) == {}
+    counts = rollups.token_counts(docs)
+    rollup = rollups.Rollup(fresh_dir(spark, "history"))
+    rollup.commit("a", rollups.signed(counts, 1))
+    rollup.commit("gone/1", rollups.signed(counts.where("doc_id < 10"), -1))
+    rollup.commit("v2", rollups.signed(rollups.in_version(counts.where("doc_id >= 30"), "v2", 1), 1))
+    for _ in range(2):
+        rollup.commit("a", rollups.signed(counts, 1))
+    assert found(rollup.totals(spark)) == sums(rows[10:]) | sums(rows[30:], "v2", 1)
+    rollup.commit("gone/1", rollups.signed(counts.where("doc_id < 20"), -1))
+    assert found(rollup.totals(spark)) == sums(rows[20:]) | sums(rows[30:], "v2", 1)
+    rollups.signed(counts, 1).write.parquet(f"{rollup.path}/sums/attempt=broken-off")  # stored, never marked
+    assert found(rollup.totals(spark)) == sums(rows[20:]) | sums(rows[30:], "v2", 1)
