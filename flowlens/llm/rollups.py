@@ -91,8 +91,9 @@ def op6(docs: DataFrame, batches: int = 2) -> DataFrame:
 
     Each batch arrives before its languages are known, counted as packing counts (with an end id); then its languages are set;
     then it is deleted in that version and inserted in the plain one. One batch of each kind is delivered twice. Texts are
-    encoded once, and a batch's changes are summed where they are read. Null source or language is a group of its own; null and empty texts count as documents of no tokens;
-    repeated rows count each; other columns are not read. An empty table gives no rows.
+    encoded once, and a batch's changes are summed where they are read. Null source or language is a group of its own; null and
+    empty texts count as documents of no tokens; repeated rows count each; other columns are not read. An empty table gives no
+    rows.
     """
     counts = cut(token_counts(docs).withColumn("_batch", F.pmod(F.xxhash64("doc_id"), F.lit(batches))))
     rollup = Rollup(fresh_dir(docs.sparkSession, "rollup"))
