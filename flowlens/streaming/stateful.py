@@ -2,18 +2,19 @@
 
 State lives in the RocksDB state store, one flow (or id) at a time. A flow's rows within one micro-batch are put in
 arrival order here; across micro-batches the source must keep each key's order, as a keyed topic does. What one call
-sees of a key is bounded by the trigger's admission limit (``maxOffsetsPerTrigger`` / ``maxFilesPerTrigger``). Tasks are a map by
-task id: an update reads and writes its own entry, all entries are read only where a batch closes or opens. One timer per flow,
-moved on by every call, lets the flow expire as a whole.
+sees of a key is bounded by the trigger's admission limit (``maxOffsetsPerTrigger`` / ``maxFilesPerTrigger``). Tasks are a list of
+updates: a call appends the rows it changed, one per task, and reads none; the list is read only where a batch closes or opens, and folded
+to one row per task once it has doubled. Every state access is a round trip out of Python, so a call makes one read and two writes for
+most flows. One timer per flow, moved on by every call, lets the flow expire as a whole.
 """
 
 from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from functools import lru_cache
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -47,11 +48,24 @@ _FLOW_STATE = (
     "plan string"
 )
 _DOCUMENT_STATE = "doc_state string, doc_href string, doc_specification string"
+_LIST_STATE = "entries int, folded int"  # task updates in the list, and how many were left when it was last folded
 _TASK_STATE = (
-    "first_seq long, action_name string, status string, batch_index int, parsed boolean, body_status string,"
+    "task_flow_id string, first_seq long, action_name string, status string, batch_index int, parsed boolean, body_status string,"
     "status_code string, change_reason string, result_json string"
 )
 _TASK_FIELDS, _FLOW_FIELDS, _DOCUMENT_FIELDS = _names(_TASK_STATE), _names(_FLOW_STATE), _names(_DOCUMENT_STATE)
+_STORED_STATE = f"{_FLOW_STATE}, {_DOCUMENT_STATE}, {_LIST_STATE}"
+_STORED_FIELDS = _names(_STORED_STATE)
+_LEAST_FOLD = 64
+# Rows go into and out of Python as one text each: the cost there is by cell, not by byte.
+_PACKED = "correlation_id string, change string"
+_CHANGE = Row("correlation_id", "change")
+
+
+_NOTHING = dict.fromkeys((
+    "is_start", "is_audit", "is_count", "dag_key", "plan", "status", "batch_index", "task_flow_id", "action_name", "parsed",
+    "body_status", "status_code", "change_reason", "result_json", *_DOCUMENT_FIELDS, "event_us",
+))  # nulls are left out of the text
 
 
 def plans(catalogue: Catalogue) -> DataFrame:
@@ -93,16 +107,18 @@ def flow_inputs(ledger: DataFrame, catalogue: Catalogue) -> DataFrame:
     )
 
 
-def _ordered(frames: Iterator[pd.DataFrame]) -> list[dict]:
-    """One key's rows of this micro-batch as dicts in arrival order, missing values as None."""
-    rows: list[tuple] = []
-    names: list[str] = []
-    for frame in frames:
-        names = list(frame.columns)
-        rows += zip(*(frame[n].tolist() for n in names))
-    at = names.index("arrival_seq")
-    rows.sort(key=lambda r: r[at])
-    return [{n: None if v is None or v != v else v for n, v in zip(names, r)} for r in rows]
+def _fold(updates: Iterator[tuple]) -> dict[str, dict]:
+    """The latest state per task out of its updates in order; the first of them tells when the task was first seen."""
+    tasks: dict[str, dict] = {}
+    for update in updates:
+        t = dict(zip(_TASK_FIELDS, update, strict=True))
+        _put(tasks, t)
+    return tasks
+
+
+def _put(tasks: dict[str, dict], t: dict) -> None:
+    known = tasks.get(t["task_flow_id"])
+    tasks[t["task_flow_id"]] = t if known is None else t | {"first_seq": known["first_seq"]}
 
 
 def _judge(tasks: list[dict]) -> tuple[str | None, str, str]:
@@ -127,6 +143,7 @@ def _judge(tasks: list[dict]) -> tuple[str | None, str, str]:
     return kickout, status, change or (B.REASON_SUCCESS if status == B.PASSED else B.REASON_FAILURE)
 
 
+@lru_cache(maxsize=1024)
 def _batches(plan: str) -> dict[int, int | None]:
     return {int(i): int(n) if n else None for i, n in (e.split(":") for e in plan.split(","))}
 
@@ -139,9 +156,8 @@ class FlowBarriers(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.flow = handle.getValueState("flow", _FLOW_STATE)
-        self.document = handle.getValueState("document", _DOCUMENT_STATE)
-        self.tasks = handle.getMapState("tasks", "task_flow_id string", _TASK_STATE)
+        self.flow = handle.getValueState("flow", _STORED_STATE)
+        self.tasks = handle.getListState("tasks", _TASK_STATE)
 
     def _expire_later(self, timers) -> None:
         """The flow expires as a whole, this long after its last row."""
@@ -150,23 +166,34 @@ class FlowBarriers(StatefulProcessor):
                 self.handle.deleteTimer(at[0] if isinstance(at, tuple) else at)
             self.handle.registerTimer(timers.getCurrentProcessingTimeInMs() + self.ttl_ms)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:  # noqa: N802, N803
         self.flow.clear()
-        self.document.clear()
         self.tasks.clear()
         return iter(())
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:  # noqa: N802, N803
         self._expire_later(timerValues)
-        stored = self.flow.get()
-        flow = dict(zip(_FLOW_FIELDS, stored, strict=True)) if stored else None
+        stored = dict(zip(_STORED_FIELDS, self.flow.get() or [None] * len(_STORED_FIELDS), strict=True))
+        flow = None if stored["status"] is None else {f: stored[f] for f in _FLOW_FIELDS}
         if flow is not None and flow["status"] != "OPEN":
             return
-        document = dict(zip(_DOCUMENT_FIELDS, self.document.get() or [None] * 3, strict=True))
+        document = {f: stored[f] for f in _DOCUMENT_FIELDS}
+        entries, folded = stored["entries"] or 0, stored["folded"] or 0
+        earlier: dict[str, dict] | None = None if entries else {}
         touched: dict[str, dict] = {}
         barrier: dict[int, dict] = {}
         out: list[dict] = []
 
+        def all_tasks() -> dict[str, dict]:
+            """Latest state per task; the stored updates are read once, and only where a batch closes or opens."""
+            nonlocal earlier
+            if earlier is None:
+                earlier = _fold(self.tasks.get())
+            found = dict(earlier)
+            for t in touched.values():
+                _put(found, t)
+            return found
+
         def lifecycle(seq: int, pos: int, status: str, dag=None, index=None, message=None, values=(None, None)) -> None:
             out.append({
                 "kind": "lifecycle", "seq": seq, "emit_pos": pos, "dag_key": dag, "batch_index": index, "status": status,
@@ -180,18 +207,17 @@ class FlowBarriers(StatefulProcessor):
         def note(state: dict, seq: int, **more) -> None:
             barrier[state["batch_index"]] = {"kind": "barrier", "seq": seq, "emit_pos": 0, **state, **more}
 
-        def opened(dag: str, index: int, plan: str, r: dict) -> dict:
-            seq = int(r["arrival_seq"])
+        def opened(dag: str, index: int, plan: str, seq: int, r: dict) -> dict:
             state = {"batch_index": index, "dag_key": dag, "task_total": _batches(plan)[index], "task_completed": 0,
                      "task_failed": 0, "opened_seq": seq, "status": "OPEN", "plan": plan}
             note(state, seq)
-            results = _results(self._all_tasks(touched))
-            out.append({"kind": "opened", "seq": seq, "emit_pos": 0, **state, **document, "event_time": r["event_time"],
+            results = _results(all_tasks())
+            out.append({"kind": "opened", "seq": seq, "emit_pos": 0, **state, **document, "event_time": r["event_us"],
                         "results": json.dumps(results)})
             return state
 
-        for r in _ordered(rows):
-            seq = int(r["arrival_seq"])
+        for seq, text in sorted(((row["arrival_seq"], row["packed"]) for row in rows), key=lambda r: r[0]):
+            r = _NOTHING | json.loads(text)
             document |= {f: r[f] for f in _DOCUMENT_FIELDS if r[f] is not None}
             if r["is_start"]:
                 if flow is None and r["plan"] is not None and 0 in _batches(r["plan"]):
@@ -199,10 +225,10 @@ class FlowBarriers(StatefulProcessor):
                     if _batches(r["plan"])[0] is None:
                         no_actions(r["dag_key"], 0, seq)
                     else:
-                        flow = opened(r["dag_key"], 0, r["plan"], r)
+                        flow = opened(r["dag_key"], 0, r["plan"], seq, r)
                 continue
             if r["is_audit"]:
-                self._upsert(touched, r, seq)
+                _put(touched, {f: r.get(f) for f in _TASK_FIELDS} | {"first_seq": seq})
             if not r["is_count"] or flow is None or flow["status"] != "OPEN" or r["batch_index"] != flow["batch_index"]:
                 continue
             flow["task_completed" if r["status"] == "COMPLETED" else "task_failed"] += 1
@@ -210,7 +236,7 @@ class FlowBarriers(StatefulProcessor):
                 note(flow, seq)
                 continue
             index, dag, plan = flow["batch_index"], flow["dag_key"], flow["plan"]
-            mine = (t for t in self._all_tasks(touched).values() if t["batch_index"] == index)
+            mine = (t for t in all_tasks().values() if t["batch_index"] == index)
             kickout, status, reason = _judge(sorted(mine, key=lambda t: t["first_seq"]))
             flow["status"] = "FAILED" if kickout else "CLOSED"
             note(flow, seq, closed_seq=seq, kickout=kickout, process_status=status, status_change_reason=reason)
@@ -222,35 +248,26 @@ class FlowBarriers(StatefulProcessor):
             elif declared[index + 1] is None:
                 no_actions(dag, index + 1, seq)
             else:
-                flow = opened(dag, index + 1, plan, r)
+                flow = opened(dag, index + 1, plan, seq, r)
 
         if flow is not None and flow["status"] != "OPEN":
-            self.tasks.clear()
-            self.document.clear()
-        else:
-            for task_id, t in touched.items():
-                self.tasks.updateValue((task_id,), tuple(t[f] for f in _TASK_FIELDS))
-            if any(v is not None for v in document.values()):
-                self.document.update(tuple(document[f] for f in _DOCUMENT_FIELDS))
-        if flow is not None:
-            self.flow.update(tuple(flow[f] for f in _FLOW_FIELDS))
+            if entries:
+                self.tasks.clear()
+            document, entries, folded = {}, 0, 0
+        elif touched:
+            entries += len(touched)
+            if entries > 2 * max(folded, _LEAST_FOLD):
+                kept = all_tasks()
+                entries = folded = len(kept)
+                self.tasks.put([tuple(t[f] for f in _TASK_FIELDS) for t in kept.values()])
+            else:
+                self.tasks.appendList([tuple(t[f] for f in _TASK_FIELDS) for t in touched.values()])
+        if flow is not None or entries or any(v is not None for v in document.values()):
+            state = {**(flow or {}), **document, "entries": entries, "folded": folded}
+            self.flow.update(tuple(map(state.get, _STORED_FIELDS)))
         out += barrier.values()
-        if out:
-            yield pd.DataFrame([[key[0], *map(o.get, _COLUMNS[1:])] for o in out], columns=_COLUMNS, dtype=object)
-
-    def _upsert(self, touched: dict[str, dict], r: dict, seq: int) -> None:
-        task_id = r["task_flow_id"]
-        if task_id in touched:
-            first = touched[task_id]["first_seq"]
-        else:
-            known = self.tasks.getValue((task_id,)) if self.tasks.exists() and self.tasks.containsKey((task_id,)) else None
-            first = known[0] if known else seq
-        touched[task_id] = {f: r.get(f) for f in _TASK_FIELDS} | {"first_seq": first, "batch_index": int(r["batch_index"])}
-
-    def _all_tasks(self, touched: dict[str, dict]) -> dict[str, dict]:
-        """Latest state per task; read where a batch closes or opens only."""
-        stored = self.tasks.iterator() if self.tasks.exists() else ()
-        return {k[0]: dict(zip(_TASK_FIELDS, v, strict=True)) for k, v in stored} | touched
+        for o in out:
+            yield _CHANGE(key[0], json.dumps(o))
 
     def close(self) -> None:
         pass
@@ -264,16 +281,21 @@ def _results(tasks: dict[str, dict]) -> dict[str, str]:
 
 def stream_flows(ledger: DataFrame, catalogue: Catalogue, expire: bool = True, state_ms: int = STATE_DAYS * 86_400_000) -> DataFrame:
     """Barrier, lifecycle and opening changes of a streaming ledger, joined with the catalogue as a static table."""
-    return (
-        flow_inputs(ledger, catalogue)
-        .groupBy("correlation_id")
-        .transformWithStateInPandas(
-            statefulProcessor=FlowBarriers(state_ms if expire else None),
-            outputStructType=CHANGES,
-            outputMode="Append",
-            timeMode="ProcessingTime" if expire else "None",
-        )
+    inputs = flow_inputs(ledger, catalogue)
+    fields = [n for n in inputs.columns if n not in ("correlation_id", "arrival_seq")]
+    packed = inputs.withColumn("event_us", F.unix_micros("event_time")).select(
+        "correlation_id", "arrival_seq", F.to_json(F.struct(*[n for n in fields if n != "event_time"], "event_us")).alias("packed")
+    )
+    changes = packed.groupBy("correlation_id").transformWithState(
+        statefulProcessor=FlowBarriers(state_ms if expire else None),
+        outputStructType=_PACKED,
+        outputMode="Append",
+        timeMode="ProcessingTime" if expire else "None",
     )
+    schema = ", ".join(CHANGES.replace("event_time timestamp", "event_time long").split(",")[1:])
+    # The generator keeps the optimizer from copying the parse into every column.
+    each = changes.select("correlation_id", F.inline(F.array(F.from_json("change", schema))))
+    return each.withColumn("event_time", F.timestamp_micros("event_time")).select(*_COLUMNS)
 
 
 def opened_batches(changes: DataFrame) -> DataFrame:

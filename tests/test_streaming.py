@@ -192,3 +192,59 @@ def test_replies(spark, tmp_path):
     matched = brute([x for x in waiting if x[0]], [x for x in replies if x[0]])
     assert {x for x in got if x[2] is not None} == matched and ("early", 5001, 5000, "fe", "te") in got
     assert {x[:2] for x in got} == {x[:2] for x in replies if x[0]} and ("lonely", 5002, None, None, None) in got
+
+
+class Counted:
+    """A state variable in memory that counts how often it is asked."""
+
+    def __init__(self, calls):
+        self.calls, self.value = calls, None
+
+    def get(self):
+        self.calls.append("get")
+        return self.value if self.value is None or isinstance(self.value, tuple) else iter(self.value)
+
+    def update(self, value):
+        self.calls.append("update")
+        self.value = value
+
+    def put(self, values):
+        self.calls.append("put")
+        self.value = list(values)
+
+    def appendList(self, values):  # noqa: N802
+        self.calls.append("append")
+        self.value = (self.value or []) + values
+
+    def clear(self):
+        self.calls.append("clear")
+        self.value = None
+
+
+def test_state_accesses_do_not_grow_with_the_tasks():
+    """A call that opens or closes no batch reads one value and writes two, however many tasks its rows touch; re-deliveries fold."""
+    calls = []
+    state = {"flow": Counted(calls), "tasks": Counted(calls)}
+
+    class Handle:
+        getValueState = getListState = lambda self, name, schema: state[name]
+
+    flows = stateful.FlowBarriers(None)
+    flows.init(Handle())
+
+    def call(first, tasks, **more):
+        rows = [{"is_audit": True, "is_count": False, "status": "WAITING", "batch_index": 0, "task_flow_id": t, "action_name": "a"} | more
+                for t in tasks]
+        calls.clear()
+        return list(flows.handleInputRows(("f",), iter([{"arrival_seq": first + i, "packed": json.dumps(r)} for i, r in enumerate(rows)]), None))
+
+    for n in (1, 30):
+        call(n * 100, [f"t{i}" for i in range(n)])
+        assert calls == ["get", "append", "update"]
+    out = call(5000, ["x"], is_audit=False, is_start=True, dag_key="d", plan="0:2")
+    assert calls == ["get", "get", "update"] and [json.loads(o.change)["kind"] for o in out] == ["lifecycle", "opened", "barrier"]
+    for n in range(60, 70):
+        call(n * 100, [f"t{i}" for i in range(30)], status="COMPLETED")
+    assert len(state["tasks"].value) <= 2 * 64
+    tasks = stateful._fold(iter(state["tasks"].value))
+    assert {t["first_seq"] for t in tasks.values()} == {100, *range(3001, 3030)} and {t["status"] for t in tasks.values()} == {"COMPLETED"}
