@@ -14,15 +14,16 @@ def upsert_tasks(events: DataFrame, keys: tuple[str, ...] = ("correlation_id", "
     """One row per task, the last arrival winning by the column rules of the task table.
 
     A plain aggregation: partial results are built before the shuffle, so re-deliveries of a hot task collapse
-    where they are read. ``events`` holds auditable rows only.
+    where they are read. ``events`` holds auditable rows only; of the columns in ``LAST`` those that it has are kept.
     """
+    last = [n for n in LAST if n in events.columns]
     order = c("arrival_seq")
     timed = F.when(c("has_execution"), order)
     lasting = F.when(c("has_execution") & c("duration_ms").isNotNull(), order)
     return (
         events.groupBy(*keys)
         .agg(
-            F.max_by(F.struct(*LAST, "event_time"), order).alias("_last"),
+            F.max_by(F.struct(*last, "event_time"), order).alias("_last"),
             F.max_by(F.struct("started_at", "finished_at"), timed).alias("_time"),
             F.max_by("duration_ms", lasting).alias("duration_ms"),
             F.min(F.struct(order.alias("seq"), c("event_time").alias("at"))).alias("_first"),
@@ -30,7 +31,7 @@ def upsert_tasks(events: DataFrame, keys: tuple[str, ...] = ("correlation_id", "
         )
         .select(
             *keys,
-            *[c(f"_last.{n}").alias(n) for n in LAST],
+            *[c(f"_last.{n}").alias(n) for n in last],
             "_time.started_at",
             "_time.finished_at",
             "duration_ms",

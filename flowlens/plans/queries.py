@@ -243,7 +243,10 @@ def task_listing(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def flow_outcome(spark: SparkSession, sf: str) -> DataFrame:
-    return reports.flow_outcome(event_barriers(spark, sf), event_tasks(spark, sf))
+    """Barriers and tasks out of one stored log, so that the events are decoded once."""
+    log = B.working_log(event_ledger(spark, sf), "has_execution", "started_at", "finished_at", "duration_ms")
+    barriers = B.lifecycle_of(log, A.event_catalogue(spark))
+    return reports.flow_outcome(barriers, tasks.upsert_tasks(log.filter(routing.is_auditable())))
 
 
 def final_state(spark: SparkSession, sf: str) -> DataFrame:

@@ -41,3 +41,21 @@ def test_query_matches_its_sql(spark, con, name):
 
 def test_entry_runs(spark):
     assert entry.entry(spark).count() > 0
+
+
+def test_flow_outcome_decodes_the_events_once(spark, tmp_path, monkeypatch):
+    """Barriers and tasks come out of one stored log; the rows are those of the two operators on logs of their own."""
+    from flowlens.operators import reports
+    from flowlens.plans import queries as Q
+
+    spark.range(300).selectExpr(
+        "id AS event_id", "timestamp '2024-01-01' + make_interval(0, 0, 0, id % 28) AS ts", "id % 7 AS user_id",
+        "element_at(array('signup', 'view', 'click', 'error', 'purchase'), CAST(id * 7 % 11 % 5 AS INT) + 1) AS event_type",
+        "CAST(id AS DOUBLE) AS value", "concat('{\"k\":', id * 13 % 97, '}') AS props",
+    ).write.parquet(str(tmp_path / "events.parquet"))
+    sf = str(tmp_path)
+    want = sorted(map(tuple, reports.flow_outcome(Q.event_barriers(spark, sf), Q.event_tasks(spark, sf)).collect()))
+    calls, decode = [], Q.event_ledger
+    monkeypatch.setattr(Q, "event_ledger", lambda *a: calls.append(a) or decode(*a))
+    got = sorted(map(tuple, Q.flow_outcome(spark, sf).collect()))
+    assert got == want and len(got) > 10 and len(calls) == 1
