@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,23 +38,39 @@ def stream_quarantine(spark: SparkSession, sf: str) -> DataFrame:
     return runs.drain_to_table(Q.split_outcome(E.mark_envelopes(raw)))
 
 
-def event_parts(spark: SparkSession, sf: str, order: Column, parts: int) -> DataFrame:
-    """The event table as files in the order of ``order`` (0 to parts - 1), one file per micro-batch."""
+FILE_ROWS = 250_000
+
+
+def event_parts(spark: SparkSession, sf: str, order: Column, parts: int, file_rows: int = FILE_ROWS) -> tuple[DataFrame, Iterator[int]]:
+    """The event table as a stream, and a feed that appends its parts to the folder in the order of ``order`` (0 to parts - 1).
+
+    A part is as many files of some ``file_rows`` rows as it needs, so that no task writes or reads it whole. What the feed has
+    appended is drained before the next part, so a part is one micro-batch.
+    """
     path = fresh_dir(spark, "event-parts")
     events = A.table(spark, sf, "events")
-    for n in range(parts):
-        events.filter(order == n).coalesce(1).write.mode("append").parquet(path)
-    return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+    def feed() -> Iterator[int]:
+        sizes = {r[0]: r[1] for r in events.groupBy(order.cast("int")).count().collect()}
+        for n in range(parts):
+            files = max(1, -(-sizes.get(n, 0) // file_rows))
+            events.filter(order == n).repartition(files, "event_id").write.mode("append").parquet(path)
+            yield n
+
+    # a reader needs the folder before the first part is there
+    spark.createDataFrame([], events.schema).write.parquet(path)
+    return spark.readStream.schema(events.schema).parquet(path), feed()
 
 
-def in_arrival_order(spark: SparkSession, sf: str, parts: int = 5) -> DataFrame:
+def in_arrival_order(spark: SparkSession, sf: str, parts: int = 5) -> tuple[DataFrame, Iterator[int]]:
     most = A.table(spark, sf, "events").agg(F.max("event_id")).first()[0] or 0
     return event_parts(spark, sf, F.expr(f"event_id * {parts} div {most + 1}"), parts)
 
 
 def stream_task_table(spark: SparkSession, sf: str) -> DataFrame:
     """Five micro-batches into the day table, merged every second time, then read."""
-    table = runs.drain_day_table(spark, E.ledger(A.shape_events(in_arrival_order(spark, sf))))
+    events, feed = in_arrival_order(spark, sf)
+    table = runs.drain_day_table(spark, E.ledger(A.shape_events(events)), feed=feed)
     return table.rows().select(
         "correlation_id", "task_flow_id", "action_name", "action_code", "batch_index", "status", "result_json",
         "error_json", "first_seq", "last_seq",
@@ -68,9 +85,10 @@ def deliveries(spark: SparkSession, sf: str) -> FirstDeliveries:
     days between, of which some are within the delay and some beyond it."""
     day = F.dayofmonth("ts")
     part = F.when(day >= 16, 0).when(day <= 12, 1).otherwise(2)
-    one = A.shape_events(event_parts(spark, sf, part, 3)).select("event_id", "correlation_id", "status", "event_time")
+    events, feed = event_parts(spark, sf, part, 3)
+    one = A.shape_events(events).select("event_id", "correlation_id", "status", "event_time")
     twice = one.select(F.explode(F.array(F.struct("*"), F.struct("*"))).alias("e")).select("e.*")
-    return runs.drain_deliveries(twice, LATE_AFTER)
+    return runs.drain_deliveries(twice, LATE_AFTER, feed)
 
 
 def stream_dedup(spark: SparkSession, sf: str) -> DataFrame:

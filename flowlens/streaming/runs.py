@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
@@ -50,15 +51,20 @@ def drain_task_table(spark: SparkSession, ledger: DataFrame) -> TaskTable:
     return table
 
 
-def drain_day_table(spark: SparkSession, ledger: DataFrame, every: int = 2) -> DayTable:
+def drain_day_table(spark: SparkSession, ledger: DataFrame, every: int = 2, feed: Iterable = (0,)) -> DayTable:
+    """The day table of a stream. Whatever each step of ``feed`` adds to the source is drained before the next step."""
     path = fresh_dir(spark, "day-table")
     table = DayTable(spark, f"{path}/table", every)
-    start_task_table(ledger, table, f"{path}/checkpoint").awaitTermination()
+    for _ in feed:
+        start_task_table(ledger, table, f"{path}/checkpoint").awaitTermination()
     return table
 
 
-def drain_deliveries(envelopes: DataFrame, delay: dt.timedelta) -> FirstDeliveries:
-    """First deliveries of a stream of (event_id, event_time, …), and its late records aside."""
+def drain_deliveries(envelopes: DataFrame, delay: dt.timedelta, feed: Iterable = (0,)) -> FirstDeliveries:
+    """First deliveries of a stream of (event_id, event_time, …), and its late records aside.
+
+    Whatever each step of ``feed`` adds to the source is drained before the next step.
+    """
     spark = envelopes.sparkSession
     path = fresh_dir(spark, "deliveries")
     schema = ", ".join(
@@ -66,7 +72,8 @@ def drain_deliveries(envelopes: DataFrame, delay: dt.timedelta) -> FirstDeliveri
     )
     table = FirstDeliveries(spark, f"{path}/table", schema, delay)
     writer = envelopes.writeStream.foreachBatch(table.apply).option("checkpointLocation", f"{path}/checkpoint")
-    writer.trigger(availableNow=True).start().awaitTermination()
+    for _ in feed:
+        writer.trigger(availableNow=True).start().awaitTermination()
     return table
 
 

@@ -248,3 +248,22 @@ def test_state_accesses_do_not_grow_with_the_tasks():
     assert len(state["tasks"].value) <= 2 * 64
     tasks = stateful._fold(iter(state["tasks"].value))
     assert {t["first_seq"] for t in tasks.values()} == {100, *range(3001, 3030)} and {t["status"] for t in tasks.values()} == {"COMPLETED"}
+
+
+def test_parts_are_many_files_and_one_batch_each(spark, tmp_path):
+    """No task writes or reads a part of the streamed event table whole, yet each part is one micro-batch."""
+    from flowlens.plans import stream_queries as SQ
+
+    spark.range(400).selectExpr("id AS event_id", "id % 5 AS user_id").write.parquet(str(tmp_path / "events.parquet"))
+    events, feed = SQ.event_parts(spark, str(tmp_path), F.expr("CASE WHEN event_id < 300 THEN 1 WHEN event_id < 390 THEN 0 END"), 2, 50)
+    seen = []
+
+    def store(batch, batch_id):
+        ids = [r.event_id for r in batch.collect()]
+        seen.append((len(ids), min(ids), batch.select(F.input_file_name()).distinct().count()))
+
+    for _ in feed:
+        writer = events.writeStream.foreachBatch(store).option("checkpointLocation", str(tmp_path / "cp"))
+        writer.trigger(availableNow=True).start().awaitTermination()
+    assert [s[:2] for s in seen if s[0]] == [(90, 300), (300, 0)]
+    assert [s[2] for s in seen if s[0]] == [2, 6]
