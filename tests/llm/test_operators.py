@@ -197,3 +197,13 @@ def test_empty_tables(spark):
             embeddings.op1(vectors), decontamination.op3(none, bench)]
     assert [df.count() for df in made] == [0] * len(made)
     assert decontamination.op3(frame(spark, [(1, "some words")]), bench).select(F.count("*")).first()[0] == 0
+
+
+def test_disclosing_terms_are_found_far_from_the_entity(spark):
+    """Every position of a text counts: a term at its start gives away an entity 200 words on, a common word does not."""
+    rng = random.Random(2)
+    rows = [(i, f"zanzibar common {prose(rng, 200)} mail bob@example.org") for i in range(6)]
+    rows += [(10 + i, f"common {prose(rng, 20)}") for i in range(60)] + [(90, f"zanzibar common {prose(rng, 5)}")]
+    got = {r.doc_id: r for r in pii.op10(frame(spark, rows)).collect()}
+    assert all("term:0:8" in got[i].spans for i in range(6)) and all("term:9:15" not in got[i].spans for i in range(6))
+    assert got[90].spans == "" and got[10].spans == ""
