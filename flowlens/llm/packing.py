@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import os
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -21,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
+from tokenizers.pre_tokenizers import ByteLevel, Sequence, WhitespaceSplit
 
 from flowlens.llm.common import arrow_map, spread, texts
 from flowlens.operators.storage import cut
@@ -30,73 +32,120 @@ STEP = 8
 END_ID = 1
 VOCABULARY = "word_bpe_49k.json"
 CACHE_WORDS = 200_000
-JOIN_WORDS = 512
+JOIN_BYTES = 8192
 SLICE_BYTES = 8 << 20
 SLICE_ROWS = 6000
-_PLAIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+[.,]?")
+_MARKS = r"!-/:-@\[-`{-~"
+_PARTS = rf"^(?P<lead>[!-&(-/:;=-@\[-`{{-~]*)(?P<stem>[A-Za-zÀ-ÖØ-öø-ÿ]+)(?P<tail>[{_MARKS}]*)$"
+_PLAIN = rf"^([a-zß-öø-ÿ]+|[{_MARKS}]+)$"
+_ADDED = re.compile("<[^A-Za-z]*[A-Za-z]")
+_BETWEEN = "\x01"
 
 
 class Encoder:
-    """Ids of a text as little-endian unsigned 32-bit numbers; remembers the ids of up to ``CACHE_WORDS`` words.
+    """Ids of a text as little-endian unsigned 32-bit numbers; remembers the ids of up to ``CACHE_WORDS`` parts of words.
 
-    The vocabulary's pre-tokens never cross white space, so a text is encoded word by word. Plain words (letters and one full
-    stop or comma at most) are encoded many at a time: each of their pre-tokens ends in exactly one id that ends a word.
+    The vocabulary's pre-tokens never cross white space, so a text is encoded word by word. Letters between punctuation are
+    three parts, in lower case as the vocabulary has them, so a word is encoded once for all ways to write it. (A quote before
+    letters may be one pre-token with them, and "<" may begin a token that was added: such words, like those with other
+    characters, stay whole.) Parts are encoded many at a time. A plain one needs no normalizer, and its ids are those up to the one that ends a word; others are told apart by
+    a character put between them.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; threads would only hold memory
         self.tokenizer = Tokenizer.from_file(path)
+        self.plain = Tokenizer(self.tokenizer.model)
+        self.plain.pre_tokenizer = Sequence([WhitespaceSplit(), ByteLevel(add_prefix_space=False, use_regex=False)])
         vocab = self.tokenizer.get_vocab()
-        self.ends = np.zeros(max(vocab.values()) + 1, np.int64)
-        self.ends[[i for token, i in vocab.items() if token.endswith("</w>")]] = 1
-        self.known: dict[str, bytes] = {}
-
-    def _plain(self, words: list[str]) -> dict[str, bytes]:
-        got: dict[str, bytes] = {}
-        for at in range(0, len(words), JOIN_WORDS):
-            part = words[at:at + JOIN_WORDS]
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
-            closed = np.cumsum(self.ends[ids])
-            due = np.cumsum([1 + (not w[-1].isalpha()) for w in part])
-            if closed[-1] != due[-1]:
-                got |= self._any(part)
-                continue
-            stops = (np.searchsorted(closed, due) + 1).tolist()
-            raw = ids.tobytes()
-            got |= {w: raw[4 * a:4 * b] for w, a, b in zip(part, [0, *stops[:-1]], stops, strict=True)}
-        return got
-
-    def _any(self, words: list[str]) -> dict[str, bytes]:
-        made = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
-        return {w: np.array(e.ids, "<u4").tobytes() for w, e in zip(words, made, strict=True)}
-
-    def _ids(self, words: list[str]) -> list[bytes]:
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends[[i for token, i in vocab.items() if token.endswith("</w>")]] = True
+        whole, apart, gap = (self.tokenizer.encode(t, add_special_tokens=False).ids for t in ("(ÀB.", "( àb .", _BETWEEN))
+        added = all(_ADDED.match(t.content) for t in self.tokenizer.get_added_tokens_decoder().values())
+        self.by_parts = added and whole == apart and int(self.ends[whole].sum()) == 3  # else words are encoded one by one
+        self.between = gap[-1] if gap else -1
+        self.words = pa.array([], pa.large_string())
+        self.ids = pa.array([], pa.large_binary())
+
+    def _joined(self, words: pa.Array, tokenizer: Tokenizer, glue: str) -> Iterator[tuple[pa.Array, np.ndarray]]:
+        """Groups of words, and the ids of each group's text; a group starts in each further ``JOIN_BYTES``."""
+        ends = np.cumsum(pc.binary_length(words).to_numpy())
+        borders = np.flatnonzero(np.diff(ends // JOIN_BYTES, prepend=-1, append=-1))
+        for at, to in zip(borders[:-1].tolist(), borders[1:].tolist(), strict=True):
+            part = words.slice(at, to - at)
+            made = tokenizer.encode_batch_fast([glue.join(part.to_pylist())], add_special_tokens=False)[0]
+            yield part, np.array(made.ids, "<u4")
+
+    def _plain(self, words: pa.Array) -> list[pa.Array]:
+        made = []
+        for part, ids in self._joined(words, self.plain, " "):
+            stops = np.flatnonzero(self.ends[ids]) + 1
+            made.append(_spans(ids, stops) if len(stops) == len(part) else self._each(part))
+        return made
+
+    def _any(self, words: pa.Array) -> list[pa.Array]:
+        made = []
+        for part, ids in self._joined(words, self.tokenizer, f" {_BETWEEN} "):
+            gap = ids == self.between
+            stops = np.append(np.flatnonzero(gap) - np.arange(gap.sum()), len(ids) - gap.sum())
+            made.append(_spans(ids[~gap], stops) if len(stops) == len(part) else self._each(part))
+        return made
+
+    def _each(self, words: pa.Array) -> pa.Array:
+        made = (self.tokenizer.encode_batch_fast([w], add_special_tokens=False)[0].ids for w in words.to_pylist())
+        return pa.array([np.array(ids, "<u4").tobytes() for ids in made], pa.large_binary())
+
+    def _ids(self, words: pa.Array) -> pa.Array:
         """Ids of distinct words; the cache takes new ones while it has room."""
-        plain, other = [], []
-        for w in words:
-            if w not in self.known:
-                (plain if _PLAIN.fullmatch(w) else other).append(w)
-        got = self._plain(plain) | self._any(other)
-        if len(self.known) + len(got) <= CACHE_WORDS:
-            self.known.update(got)
-            return [self.known[w] for w in words]
-        return [got[w] if w in got else self.known[w] for w in words]
+        at = pc.index_in(words, value_set=self.words)
+        unknown = at.is_null()
+        new = words.filter(unknown)
+        plain = pc.match_substring_regex(new, _PLAIN)
+        added = [new.filter(plain), new.filter(pc.invert(plain))]
+        ids = pa.concat_arrays([self.ids, *self._plain(added[0]), *self._any(added[1])])
+        first = np.argsort(~plain.to_numpy(zero_copy_only=False), kind="stable")
+        place = at.fill_null(0).to_numpy().copy()
+        place[np.flatnonzero(unknown)[first]] = np.arange(len(self.words), len(ids))
+        if len(self.words) < CACHE_WORDS:
+            self.words = pa.concat_arrays([pa.concat_arrays([self.words, *added]).slice(0, CACHE_WORDS)])
+            self.ids = pa.concat_arrays([ids.slice(0, CACHE_WORDS)])  # a copy: the slice would hold all
+        return ids.take(pa.array(place))
+
+    def _word_ids(self, words: pa.Array) -> pa.Array:
+        """Ids of distinct words, put together from those of their parts."""
+        if not self.by_parts:
+            return self._each(words)
+        lead, stem, tail = pc.extract_regex(words, _PARTS).flatten()
+        whole = lead.is_null()
+        parts = [pc.utf8_lower(stem.fill_null("")), pc.if_else(whole, words, lead), tail.fill_null("")]
+        numbered = pa.concat_arrays(parts).dictionary_encode()
+        ids = self._ids(numbered.dictionary)
+        stem, lead, tail = (ids.take(numbered.indices.slice(i * len(words), len(words))) for i in range(3))
+        return pc.binary_join_element_wise(lead, stem, tail, pa.scalar(b"", pa.large_binary()))
 
     def encode(self, column: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts one after another, ``end_id`` after each text, and where each text's ids end.
 
-        Only the distinct words of the slice pass through Python; Arrow splits, numbers and gathers the rest.
+        Only new parts of the distinct words of the slice pass through Python; Arrow splits, numbers and gathers the rest.
         """
         parts = pc.split_pattern(pc.replace_substring(column.cast(pa.large_string()), "\n", " "), " ")
         numbered = parts.flatten().dictionary_encode()
-        words = self._ids(numbered.dictionary.to_pylist()) + [np.array([end_id], "<u4").tobytes()]
+        words = pa.concat_arrays([
+            self._word_ids(numbered.dictionary), pa.array([np.array([end_id], "<u4").tobytes()], pa.large_binary()),
+        ])
         ends = parts.offsets.to_numpy() - parts.offsets[0].as_py()
         order = np.insert(numbered.indices.to_numpy(), ends[1:], len(words) - 1)
-        spans = pa.array(words, pa.large_binary()).take(pa.array(order))
+        spans = words.take(pa.array(order))
         stops = np.frombuffer(spans.buffers()[1], np.int64)[:len(spans) + 1]
         return np.frombuffer(spans.buffers()[2], "<u4")[:stops[-1] // 4], stops[ends[1:] + np.arange(1, len(ends))] // 4
 
 
+def _spans(ids: np.ndarray, stops: np.ndarray) -> pa.Array:
+    """The bytes of ``ids`` up to each stop as one value."""
+    borders = np.concatenate(([0], stops)).astype(np.int64) * 4
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(stops), [None, pa.py_buffer(borders), pa.py_buffer(ids)])
+
+
 _encoders: dict[str, Encoder] = {}
 
 
